@@ -1,9 +1,33 @@
-"""Reading the tables of a data folder."""
+"""Reading the tables of a data folder, and giving the executors this package."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, for functions that run in their Python."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or spark.sparkContext.master.startswith("local["):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="strandwork-"), "strandwork_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
