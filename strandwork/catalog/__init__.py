@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph_data
+from . import code_graph, graph_data, texts
 
-_MODULES = (graph_data,)
+_MODULES = (graph_data, code_graph, texts)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in _MODULES for k, f in m.ORACLE.items()}
