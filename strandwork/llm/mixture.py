@@ -76,7 +76,7 @@ def rates(counted_docs: DataFrame, targets: DataFrame, total: int | None = None)
     whole = both.agg(F.sum(F.when((F.col("tokens") > 0), F.col("target_share"))).alias("present"))
     wanted = both.crossJoin(F.broadcast(whole)).withColumn("goal", F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), F.col("target_share") / F.col("present")))  # one row beside each source
     size = wanted.agg((F.lit(float(total)) if total is not None else F.min(F.col("max_repeats") * F.col("tokens") / F.col("goal"))).alias("size"))
-    rate = F.coalesce(F.least(F.col("goal") * F.col("size") / F.col("tokens"), F.col("max_repeats").cast("double")), F.lit(0.0))
+    rate = F.when(F.col("goal").isNotNull(), F.least(F.col("goal") * F.col("size") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return wanted.crossJoin(F.broadcast(size)).select("source", "target_share", "max_repeats", "docs", "tokens", rate.alias("rate"))
 
 
