@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.cut import Cutter
+
 # Letters of other scripts drawn like a Latin letter of the same case.
 _CYRILLIC = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵv АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ӀI ԚQ ԜW ԌG ѴV ҮY"
 _GREEK = "αa γy ιi νv οo ρp σo υu ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ"
@@ -93,10 +95,11 @@ def forms(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, look, body): hashes of 256 bits of skeleton and text, of documents whose skeleton has several texts."""
-    d = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.sha2(one_form("text"), 256)).alias("look"), F.unhex(F.sha2("text", 256)).alias("body"))
+    """(doc_id, look, body): hashes of 256 bits of skeleton and text, of documents whose skeleton has several texts; written once, as skeletons are the costly part."""
+    cutter = Cutter(docs.sparkSession, "looks")
+    d = cutter.cut(docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.sha2(one_form("text"), 256)).alias("look"), F.unhex(F.sha2("text", 256)).alias("body")))
     many = d.groupBy("look").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where(F.col("lo") != F.col("hi")).select("look")
-    return d.join(many, "look", "left_semi")
+    return cutter.cut(d.join(many, "look", "left_semi"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
