@@ -157,17 +157,18 @@ def copies(files: DataFrame) -> DataFrame:
     index = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(holder).alias("a"), F.max(holder).alias("b")).where(F.col("a.repo") != F.col("b.repo"))
     # a file's own repo may be any of its class's; a class found in two repos is a copy as it stands
     alone = classes.where(F.col("lo") == F.col("hi"))
+    holders = F.filter(F.array("a", "b"), lambda x: x["repo"] != F.col("repo"))
     seen = (
         alone.select("class", F.col("lo").alias("repo"), F.size("lines").alias("size"), F.explode("lines").alias("line"))
         .join(index, "line")
-        .select("class", "size", "n", F.when(F.col("a.repo") != F.col("repo"), F.col("a.class")).otherwise(F.col("b.class")).alias("other"))
+        .select("class", "size", "n", F.transform(holders, lambda x: x["class"]).alias("others"))
         .groupBy("class", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "other"))).alias("votes"))  # a file's own lines
-        .where(F.size("votes") >= F.greatest(F.lit(SHARED), F.ceil(F.col("size") * SHARE)))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "others"))).alias("held"))  # a file's own lines
+        .where(F.size("held") >= F.greatest(F.lit(SHARED), F.ceil(F.col("size") * SHARE)))
     )
-    half = F.transform(F.slice("votes", F.lit(1), F.ceil(F.size("votes") / 2).cast("int")), lambda v: v["other"])
-    chosen = seen.select("class", half.alias("half")).select("class", F.size("half").alias("of"), F.explode(F.array_distinct("half")).alias("other"), "half")
-    chosen = chosen.where(F.size(F.filter("half", lambda x: x == F.col("other"))) * 6 >= F.col("of")).select("class", "other")
+    # a holder of SHARE of the lines holds some of the rarest 1 - SHARE and one more
+    rarest = F.slice("held", F.lit(1), F.size("held") - F.floor(F.size("held") * SHARE).cast("int") + 1)
+    chosen = seen.select("class", F.explode(F.array_distinct(F.flatten(F.transform(rarest, lambda v: v["others"])))).alias("other"))
     sides = classes.select(F.col("class").alias("other"), F.col("lines").alias("theirs"))
     shared = F.size(F.array_intersect("lines", "theirs"))
     edited = chosen.join(classes.select("class", "lines"), "class").join(sides, "other").where((shared >= SHARED) & (shared >= F.size("lines") * SHARE)).select("class")
