@@ -178,6 +178,32 @@ def _(g: Graph) -> DataFrame:
     return resolve.link_names(texts.select(F.col("doc_id").alias("text_id"), "text"), names)
 
 
+_LINKED = ORACLE["entity_links"].replace("SELECT doc_id AS text_id, name FROM t JOIN n USING (w)", ", m AS (SELECT DISTINCT doc_id AS session, name FROM t JOIN n USING (w))")
+
+
+@_add("co_discussed", _LINKED + " SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session GROUP BY 1, 2")
+def _(g: Graph) -> DataFrame:
+    names = g.entities("node_table", "name").where(F.col("node_table").isin("function", "class")).select("name")
+    texts = g.table("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select(F.col("doc_id").alias("text_id"), "text")
+    return conversation.co_discussed(resolve.link_names(texts, names).select(F.col("text_id").alias("session"), "name"))
+
+
+@_add("notes_for_file", _K + "SELECT id, kind, title, repo AS scope, CASE confidence WHEN 'high' THEN 1 ELSE 2 END AS tier, created_at FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE confidence WHEN 'high' THEN 1 ELSE 2 END, created_at DESC NULLS LAST, id) AS r FROM k WHERE kind IN ('decision', 'problem') AND contains(lower(repo), 'atlas-core')) WHERE r <= 5")
+def _(g: Graph) -> DataFrame:
+    e = entries(g).withColumns({"scope": F.col("repo"), "tier": F.when(F.col("confidence") == "high", 1).otherwise(2)})
+    return knowledge.for_file(e, "atlas-core/main.rs")
+
+
+@_add("arc_detail")
+def _(g: Graph) -> DataFrame:
+    return knowledge.arc_detail(entries(g), "adr")
+
+
+@_add("vector_codes", "SELECT vec_id, (len(embedding) + 31) // 32 AS words FROM embeddings")
+def _(g: Graph) -> DataFrame:
+    return store.with_codes(g.table("embeddings")).select("vec_id", F.size("bits").cast("long").alias("words"))
+
+
 def _path(prefix: str = "") -> str:
     return f"{prefix}p_brand || '/' || {prefix}p_type"
 

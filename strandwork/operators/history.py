@@ -20,17 +20,26 @@ def file_churn(changes: DataFrame) -> DataFrame:
     return distinct_changes(changes).groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
 
 
-def coupling(changes: DataFrame, most_files: int = 200) -> DataFrame:
+#: Files of a commit up to which its pairs are made from one array.
+SMALL_COMMIT = 500
+
+
+def coupling(changes: DataFrame, most_files: int | None = None) -> DataFrame:
     """(a, b, n), a before b: files changed in one commit, by in how many.
 
-    Pairs are made within a commit. Commits of more than ``most_files`` files are mass
-    changes that say nothing on coupling and are left out, as a parameter of the measure.
+    The pairs of a commit are the result. Those of small commits are made from one array
+    each; larger commits join their rows, so none is gathered in one task. ``most_files``
+    leaves out mass changes where the caller wants that.
     """
     c = distinct_changes(changes)
-    small = c.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most_files)).select("commit")
-    files = c.join(small, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    n = c.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    n = n.where(F.col("n") <= most_files) if most_files is not None else n
+    sized = c.join(n, "commit")
+    files = sized.where(F.col("n") <= SMALL_COMMIT).groupBy("commit").agg(F.array_sort(F.collect_list("path")).alias("files"))
     pairs = files.select(F.posexplode("files").alias("i", "a"), "files").select("a", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    big = sized.where(F.col("n") > SMALL_COMMIT)
+    mass = big.select("commit", F.col("path").alias("a")).join(big.select("commit", F.col("path").alias("b")), "commit").where(F.col("a") < F.col("b")).select("a", "b")
+    return pairs.unionByName(mass).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def contributors(commits: DataFrame, changes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import file_scope
 from ..plans.cut import Cutter
 from .graph import first_per
 
@@ -213,3 +214,17 @@ def first_sentence(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike("^(#|[-*+] |>|```|\\|)"))
     plain = F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), "[*_`]|\\[\\[|\\]\\]", "")
     return F.regexp_extract(plain, "^(.*?[.!?])(\\s|$)|^(.*)$", 0)
+
+
+def for_file(entries: DataFrame, path: str, kinds: tuple[str, ...] = ("decision", "problem"), limit: int = 5) -> DataFrame:
+    """The entries of each kind whose scope contains the file's, by tier and then the newest; ``entries`` has scope, tier and created_at."""
+    scope = file_scope(F.lit(path))
+    hit = entries.where(F.col("kind").isin(*kinds) & F.contains(F.lower("scope"), F.lower(scope)))
+    return first_per(hit.select("id", "kind", "title", "scope", "tier", "created_at"), ["kind"], [F.asc_nulls_last("tier"), F.desc_nulls_last("created_at"), F.col("id")], limit)
+
+
+def arc_detail(entries: DataFrame, tag: str, duplicate: float = 0.7) -> DataFrame:
+    """(id, title, kind, created_at, duplicate_of): the entries of a topic with the earliest one each repeats; ``narration`` and ``proposals`` give the rest."""
+    arc = entries.where(F.array_contains("tags", tag))
+    dup = duplicate_of(arc, duplicate).select("id", "duplicate_of")
+    return arc.select("id", "title", "kind", "created_at").join(dup, "id", "left")

@@ -160,3 +160,24 @@ def swap(df: DataFrame, path: str) -> None:
     fs.rename(at(fresh), at(path))
     if fs.exists(at(old)):
         fs.delete(at(old), True)
+
+
+def with_codes(vectors: DataFrame, column: str = "embedding", code: str = "bits") -> DataFrame:
+    """Vectors with the binary code filled in where it is missing."""
+    from .vectors import bits
+
+    have = F.col(code) if code in vectors.columns else F.lit(None).cast("array<long>")
+    return vectors.withColumn(code, F.coalesce(have, bits(F.col(column))))
+
+
+def purge(items: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored texts without those of ``sources(source)``, and how many went."""
+    s = sources.select("source").distinct()
+    return items.join(s, "source", "left_anti").select(*items.columns), items.join(s, "source", "left_semi").agg(F.count(F.lit(1)).alias("purged"))
+
+
+def without_deleted(entities: DataFrame, edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges without files that ``changes`` calls deleted."""
+    gone = changed.where(F.col("change") == "deleted").select("repo", F.col("path").alias("file_path"))
+    dead = entities.join(gone, ["repo", "file_path"], "left_semi").select("id").distinct()
+    return entities.join(gone, ["repo", "file_path"], "left_anti").select(*entities.columns), _without_ends(edges, dead)

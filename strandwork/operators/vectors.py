@@ -1,12 +1,16 @@
 """Vector search: binary codes, Hamming and cosine distance, two-stage top k.
 
 Codes are one string of bits packed to longs, so distances are popcounts of the JVM.
-Queries come as a frame and meet all rows in blocks; the candidates of a query are cut
-per slice of rows before they meet, so no task holds all rows of a query.
+A set of queries meets all rows as matrix products in Arrow batches, in blocks of
+queries of a bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +41,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm < 1e-10, F.lit(0.0)).otherwise(_dot(a, b) / norm)
 
 
-def _best(scored: DataFrame, order: list[Column], k: int, slices: int = 16) -> DataFrame:
-    near = scored.withColumn("slice", F.pmod(F.hash("vec_id"), F.lit(slices)))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(*order))).where(F.col("r") <= k)
-    return near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= k).drop("slice")
+#: Queries that one pass holds in each task; more are taken in blocks.
+BLOCK = 4096
 
 
 def queries_of(vectors: DataFrame, every: int = 50) -> DataFrame:
@@ -48,26 +50,76 @@ def queries_of(vectors: DataFrame, every: int = 50) -> DataFrame:
     return vectors.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
 
 
+def _matrix(rows: list, dims: int) -> np.ndarray:
+    """Vectors as rows of double, missing values and dimensions as 0."""
+    out = np.zeros((len(rows), dims))
+    for k, v in enumerate(rows):
+        out[k, : min(len(v), dims)] = [0.0 if x is None else x for x in v[:dims]]
+    return out
+
+
+def _values(m: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each query (row) to each vector (column): what is smaller is nearer."""
+    if metric == "hamming":
+        a, b = (q > 0).astype(np.float64), (m > 0).astype(np.float64)
+        return a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
+    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((m * m).sum(1))[None, :]
+    return -np.round(np.where(norm < 1e-10, 0.0, (q @ m.T) / np.where(norm < 1e-10, 1.0, norm)), 6)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = b.column("vec_id").to_numpy(zero_copy_only=False)
+        d = _values(_matrix(b.column("embedding").to_pylist(), q.shape[1]), q, metric)
+        d[ids[:, None] == own[None, :]] = np.inf
+        out: list[tuple[np.ndarray, ...]] = []
+        for row, one in zip(ids, d, strict=True):
+            near = np.lexsort((own, one))[:k]
+            near = near[np.isfinite(one[near])]
+            out.append((np.full(len(near), row), own[near], one[near]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "d"])
+
+
+def _topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, vec_id, d, rank): the k nearest of all rows to each query, itself left out, ties by id.
+
+    A pass over the rows holds a block of queries; a batch of rows gives at most k rows a
+    query, and only those are shuffled and ranked.
+    """
+    spark = vectors.sparkSession
+    v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    q = queries.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    blocks = max(1, -(-q.count() // BLOCK))
+    out = None
+    for n in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect() if blocks > 1 else q.collect()
+        if not rows:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), _matrix([r["embedding"] for r in rows], max(len(r["embedding"]) for r in rows))))
+        near = v.mapInArrow(lambda b, h=held: _nearest(b, *h.value, k, metric), "query_id long, vec_id long, d double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        out = v.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("d")).limit(0)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id")))
+    return ranked.where(F.col("rank") <= k)
+
+
 def hamming_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest codes of each query among all rows, itself left out."""
-    q = queries.select(F.col("vec_id").alias("query_id"), bits(F.col("embedding")).alias("q"))
-    v = vectors.select("vec_id", bits(F.col("embedding")).alias("v"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", hamming(F.col("q"), F.col("v")).alias("distance"))
-    return _best(scored, [F.col("distance"), F.col("vec_id")], k).select("query_id", "vec_id", "distance", F.col("r").alias("rank"))
+    return _topk(vectors, queries, k, "hamming").select("query_id", "vec_id", F.col("d").cast("int").alias("distance"), "rank")
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank): the k most similar vectors of each query among all rows, itself left out."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return _best(scored, [F.desc("score"), F.col("vec_id")], k).select("query_id", "vec_id", "score", F.col("r").alias("rank"))
+    return _topk(vectors, queries, k, "cosine").select("query_id", "vec_id", (-F.col("d")).alias("score"), "rank")
 
 
 def two_stage(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank): candidates by Hamming, max(5k, 50) of them, ranked by cosine; full vectors are read for candidates only."""
     near = hamming_topk(vectors, queries, max(5 * k, 50)).select("query_id", "vec_id")
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(F.broadcast(q), "query_id")
+    both = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(q, "query_id")
     scored = both.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")

@@ -111,7 +111,7 @@ def test_bits(spark):
 
 
 def test_scopes(spark):
-    table = {"crates/core/src/graph/builder.rs": "core", "crates/mcp-server/src/server.rs": "mcp-server", "src/main.rs": "src", "README.md": "root", "docs/api.md": "docs", "lib/foo/bar/baz.rs": "foo"}
+    table = {"crates/alpha/src/store/table.rs": "alpha", "crates/web-app/src/routes.rs": "web-app", "src/main.rs": "src", "README.md": "root", "docs/api.md": "docs", "lib/foo/bar/baz.rs": "foo"}
     df = spark.createDataFrame(list(table.items()), "p string, want string")
     assert df.where(ids.file_scope(F.col("p")) != F.col("want")).count() == 0
     imports = {"from foo.bar import baz": "foo/bar", "import { X } from 'shared/utils'": "shared/utils", "use crate::graph::builder;": "crate/graph/builder", "import X from './helpers'": "helpers"}
