@@ -3,7 +3,8 @@
 Every legal cut of a text is a byte offset with a rank: end of a paragraph, of a
 line, of a sentence, of a word, of any character.  The successor of a cut is the
 end of the next piece: that piece starts ``overlap`` bytes before the cut and ends
-at the farthest boundary of the best rank in the second half of its room.  One
+at the farthest boundary of the best rank in the second half of its room, else at the
+farthest natural boundary after the cut, else at the last character that fits.  One
 binary search per rank gives the successors of all cuts of a batch of texts at
 once; squaring the successor table (s = s[s]) while merging what it reaches gives
 all cuts from the first one in logarithmic rounds.  A text is one row, so its
@@ -68,9 +69,10 @@ def cuts(raw: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[i
     def end_from(start: np.ndarray, after: np.ndarray) -> np.ndarray:
         room = np.minimum(start + limit, n)
         least = np.maximum(start + limit // 2, after + 1)
-        end = _last(legal, room)
-        for marks in reversed(ranks):
-            far = _last(marks, room)
+        lasts = [_last(marks, room) for marks in ranks]
+        natural = np.max(lasts, axis=0)
+        end = np.where(natural > after, natural, _last(legal, room))
+        for far in reversed(lasts):
             end = np.where((far >= least) & (far < n), far, end)
         return np.where(room == n, n, end)
 
