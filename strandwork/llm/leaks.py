@@ -31,7 +31,7 @@ from .lookalike import skeleton
 
 RUN, SHINGLE = 12, 3
 #: Words of items that one pass over the documents holds in each task.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 _WORD = re.compile(r"[\w\u0300-\u036f]+")
 
 
