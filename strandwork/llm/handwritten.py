@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import Cutter
+from ..plans.cut import Cutter, broadcast_if_small
 
 #: A line counts from this length on; a copy shares this part of its lines and this many at least.
 LINE, SHARE, SHARED = 20, 0.6, 6
@@ -139,15 +139,19 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_sets(files: DataFrame) -> DataFrame:
     """(file_id, repo, class, own, lines): the sorted distinct hashes of long lines, and a hash of them all."""
-    trimmed = F.transform(F.split("content", "\r\n|\r|\n"), lambda x: F.regexp_replace(F.trim(F.translate(x, "\t", " ")), " +", " "))
+    trimmed = F.transform(F.split(F.regexp_replace("content", "[ \t]+", " "), "\r\n|\r|\n"), lambda x: F.trim(x))
     lines = F.array_sort(F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))))
     head = F.substring_index(F.regexp_replace("content", "\r\n?", "\n"), "\n", 6)
     own = (F.length("repo") > 0) & head.contains(F.concat(F.lit("of "), F.col("repo"), F.lit("."))) | head.contains(F.concat(F.lit("("), F.col("repo"), F.lit(")"))) | head.contains(F.concat(F.lit("the "), F.col("repo"), F.lit(" contributors")))
     return files.select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce(own, F.lit(False)).alias("own"), lines.alias("lines")).withColumn("class", F.xxhash64("lines", F.size("lines")))
 
 
-def copies(files: DataFrame) -> DataFrame:
-    """(file_id) of files whose lines a file of another repository holds to ``SHARE`` or more."""
+def copies(files: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """(file_id) of files whose lines a file of another repository holds to ``SHARE`` or more.
+
+    Files of ``judged(file_id)`` are known to be no source for other reasons and only meet
+    named holders.
+    """
     cutter = Cutter(files.sparkSession, "copies")
     sets = cutter.cut(line_sets(files).where(F.size("lines") >= SHARED))
     classes = sets.groupBy("class").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.first("lines").alias("lines"))
@@ -161,25 +165,42 @@ def copies(files: DataFrame) -> DataFrame:
     seen = (
         alone.select("class", F.col("lo").alias("repo"), F.size("lines").alias("size"), F.explode("lines").alias("line"))
         .join(index, "line")
-        .select("class", "size", "n", F.transform(holders, lambda x: x["class"]).alias("others"))
-        .groupBy("class", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "others"))).alias("held"))  # a file's own lines
+        .select("class", "repo", "size", "n", "line", F.transform(holders, lambda x: x["class"]).alias("others"))
+        .groupBy("class", "repo", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "line", "others"))).alias("held"))  # a file's own lines
         .where(F.size("held") >= F.greatest(F.lit(SHARED), F.ceil(F.col("size") * SHARE)))
     )
-    # a holder of SHARE of the lines holds some of the rarest 1 - SHARE and one more
+    # a file that holds SHARE of the lines holds some of the rarest 1 - SHARE and one more
     rarest = F.slice("held", F.lit(1), F.size("held") - F.floor(F.size("held") * SHARE).cast("int") + 1)
-    chosen = seen.select("class", F.explode(F.array_distinct(F.flatten(F.transform(rarest, lambda v: v["others"])))).alias("other"))
+    seen = cutter.cut(seen.select("class", "repo", rarest.alias("rarest")))
+    named = seen.select("class", F.explode(F.array_distinct(F.flatten(F.transform("rarest", lambda v: v["others"])))).alias("other"))
+    edited = cutter.cut(_contained(classes, named))
+    found = classes.where(F.col("lo") != F.col("hi")).select("class").unionByName(edited)
+    # what the named holders do not hold meets every holder of its rarest lines
+    left = seen.join(edited, "class", "left_anti")
+    if judged is not None:
+        left = left.join(sets.join(judged.select("file_id"), "file_id", "left_anti").select("class").distinct(), "class", "left_semi")
+    rest = cutter.cut(left.select("class", "repo", F.explode(F.transform("rarest", lambda v: v["line"])).alias("line")))
+    if rest.limit(1).count():
+        wanted = broadcast_if_small(rest.select("line").distinct(), 16)
+        every = held.join(wanted, "line", "left_semi").select("line", F.col("class").alias("other"), F.col("repo").alias("their_repo"))
+        more = rest.join(every, "line").where(F.col("repo") != F.col("their_repo")).select("class", "other").distinct()
+        found = found.unionByName(_contained(classes, more))
+    return sets.where(~F.col("own")).join(found.distinct(), "class", "left_semi").select("file_id")
+
+
+def _contained(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class) of those ``pairs(class, other)`` whose lines the other holds to ``SHARE`` or more."""
     sides = classes.select(F.col("class").alias("other"), F.col("lines").alias("theirs"))
     shared = F.size(F.array_intersect("lines", "theirs"))
-    edited = chosen.join(classes.select("class", "lines"), "class").join(sides, "other").where((shared >= SHARED) & (shared >= F.size("lines") * SHARE)).select("class")
-    found = classes.where(F.col("lo") != F.col("hi")).select("class").unionByName(edited).distinct()
-    return sets.where(~F.col("own")).join(found, "class", "left_semi").select("file_id")
+    both = pairs.join(classes.select("class", "lines"), "class").join(sides, "other")
+    return both.where((shared >= SHARED) & (shared >= F.size("lines") * SHARE)).select("class").distinct()
 
 
 def kinds(files: DataFrame) -> DataFrame:
     """(file_id, kind): 'third-party', 'generated', 'minified', 'data' or 'hand-written' for every file with content."""
     f = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "repo", "content")
-    judged = f.select("file_id", "repo", "content").mapInArrow(_judged, "file_id long, rule string")
-    copied = copies(f).distinct().select(F.col("file_id").alias("copied"))
+    judged = Cutter(files.sparkSession, "kinds").cut(f.select("file_id", "repo", "content").mapInArrow(_judged, "file_id long, rule string"))
+    copied = copies(f, judged.where(F.col("rule").isNotNull())).distinct().select(F.col("file_id").alias("copied"))
     kind = F.coalesce("rule", F.when(F.col("copied").isNotNull(), F.lit("third-party")), F.lit("hand-written"))
     return judged.join(copied, F.col("file_id") == F.col("copied"), "left").select("file_id", kind.alias("kind"))

@@ -44,13 +44,35 @@ def test_prefers_natural_boundaries():
     assert all(text.encode()[:e].endswith(b" ") for e in ends)
 
 
-def test_doubling_equals_walking():
-    """The cuts reached by squaring are those of one greedy walk: each cut's piece ends at the next."""
-    for text in _texts():
-        raw = text.encode()
-        if len(raw) > 4096:
-            starts, ends = p.cuts(raw)
-            assert ends == sorted(set(ends)) and len(ends) <= 2 * len(raw) // (4096 - 2 * 200) + 2
+def _walk(raw, limit, overlap):
+    """One cut after the other, by scanning back from the farthest byte."""
+    legal = [k for k in range(len(raw) + 1) if k in (0, len(raw)) or (raw[k] & 0xC0 != 0x80 and raw[k - 1 : k + 1] != b"\r\n")]
+    ok = set(legal)
+    ranks = [{m.end() for m in r.finditer(raw)} for r in p._RANKS]
+    cut, ends = 0, []
+    while cut < len(raw):
+        start = next(k for k in range(max(cut - overlap, 0), len(raw) + 1) if k in ok)
+        room = min(start + limit, len(raw))
+        if room < len(raw):
+            half = next((k for r in ranks for k in range(room, max(start + limit // 2, cut + 1) - 1, -1) if k in r), None)
+            any_ = next((k for k in range(room, cut, -1) if any(k in r for r in ranks)), None)
+            room = half or any_ or next(k for k in range(room, -1, -1) if k in ok)
+        cut = room
+        ends.append(cut)
+    return ends
+
+
+@pytest.mark.parametrize("text", _texts())
+def test_doubling_equals_walking(text):
+    raw = text.encode()
+    if len(raw) > 4096:
+        assert p.cuts(raw)[1] == _walk(raw, 4096, 200)
+    assert p.cuts(raw, 600, 50)[1] == _walk(raw, 600, 50)
+
+
+def test_a_boundary_in_the_first_half_beats_a_cut_word():
+    raw = b"word " * 40 + b"x" * 9000
+    assert p.cuts(raw)[1][0] == 200
 
 
 def test_bad_limits():
