@@ -181,7 +181,7 @@ def _(g: Graph) -> DataFrame:
 _LINKED = ORACLE["entity_links"].replace("SELECT doc_id AS text_id, name FROM t JOIN n USING (w)", ", m AS (SELECT DISTINCT doc_id AS session, name FROM t JOIN n USING (w))")
 
 
-@_add("co_discussed", _LINKED + " SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session GROUP BY 1, 2")
+@_add("co_discussed", _LINKED + ", s AS (SELECT name FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10) SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session WHERE a.name IN (SELECT name FROM s) GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
     names = g.entities("node_table", "name").where(F.col("node_table").isin("function", "class")).select("name")
     texts = g.table("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select(F.col("doc_id").alias("text_id"), "text")

@@ -124,8 +124,8 @@ def similar(classes: DataFrame, threshold: float) -> DataFrame:
     need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9))
-    # a pair's first shared word stands at the smallest positions, so the bound is taken there
-    cand = near.groupBy("a", "b").agg(F.max(room - need).alias("slack")).where(F.col("slack") >= 0).select("a", "b")
+    # a pair's first shared word leaves the most room, so a pair that may reach the threshold passes there
+    cand = near.where(room >= need).select("a", "b").distinct()
     both = cand.join(c.select(F.col("cls").alias("a"), F.col("bag").alias("x")), "a").join(c.select(F.col("cls").alias("b"), F.col("bag").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     score = inter / (F.size("x") + F.size("y") - inter)
