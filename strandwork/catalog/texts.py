@@ -171,11 +171,10 @@ def _(g: Graph) -> DataFrame:
     return g.table("indexed_content").select("item_id", code.html_title(page).alias("title"), F.length(code.html_text(page)).alias("n_chars"), code.looks_like_html(page).alias("html"))
 
 
-@_add("entity_links", "WITH n AS (SELECT DISTINCT name, lower(name) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, row_id DESC) AS r FROM code_entities) WHERE r = 1 AND NOT coalesce(is_deleted, false) AND node_table IN ('function', 'class') AND length(name) >= 4), t AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT doc_id AS text_id, name FROM t JOIN n USING (w)")
+@_add("entity_links", "WITH n AS (SELECT DISTINCT name, lower(name) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, row_id DESC) AS r FROM code_entities) WHERE r = 1 AND NOT coalesce(is_deleted, false) AND node_table IN ('function', 'class') AND length(name) >= 4), t AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id AS text_id, name FROM t JOIN n USING (w)")
 def _(g: Graph) -> DataFrame:
     names = g.entities("node_table", "name").where(F.col("node_table").isin("function", "class")).select("name")
-    texts = g.table("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))  # lower case differs between engines beyond ASCII
-    return resolve.link_names(texts.select(F.col("doc_id").alias("text_id"), "text"), names)
+    return resolve.link_names(g.table("documents").select(F.col("doc_id").alias("text_id"), "text"), names)
 
 
 _LINKED = ORACLE["entity_links"].replace("SELECT doc_id AS text_id, name FROM t JOIN n USING (w)", ", m AS (SELECT DISTINCT doc_id AS session, name FROM t JOIN n USING (w))")
@@ -184,7 +183,7 @@ _LINKED = ORACLE["entity_links"].replace("SELECT doc_id AS text_id, name FROM t
 @_add("co_discussed", _LINKED + ", s AS (SELECT name FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10) SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session WHERE a.name IN (SELECT name FROM s) GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
     names = g.entities("node_table", "name").where(F.col("node_table").isin("function", "class")).select("name")
-    texts = g.table("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select(F.col("doc_id").alias("text_id"), "text")
+    texts = g.table("documents").select(F.col("doc_id").alias("text_id"), "text")
     return conversation.co_discussed(resolve.link_names(texts, names).select(F.col("text_id").alias("session"), "name"))
 
 

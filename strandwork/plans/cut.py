@@ -9,6 +9,7 @@ executor, carry exact sizes for the planner, and are computed once, where
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -35,7 +36,8 @@ def _delete(spark: SparkSession, path: str) -> None:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session may be gone already; the folder is scratch space
-        pass
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 @dataclass
