@@ -67,7 +67,7 @@ def module_of_import(body: Column) -> Column:
     text = F.trim(body)
     py = F.regexp_extract(text, r"^from\s+([\w.]+)\s+import\b", 1)
     js = F.regexp_extract(text, r"""\bfrom\s+['"]([^'"]+)['"]""", 1)
-    rs = F.regexp_extract(text, r"^(?:pub\s+)?use\s+([\w:]+)", 1)
+    rs = F.regexp_extract(text, r"^(?:pub\s+)?use\s+([^;\s]+)", 1)
     return (
         F.when(py != "", F.replace(py, F.lit("."), F.lit("/")))
         .when(js != "", F.regexp_replace(js, r"^(?:\.{1,2}/)+", ""))

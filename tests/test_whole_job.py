@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork import catalog
-from strandwork.operators import conversation
+from strandwork.functions import ids
+from strandwork.operators import conversation, resolve
 
 from .compare import connect, rows
 
@@ -39,3 +40,29 @@ def test_co_discussed_is_the_uncapped_definition(spark):
     sql = m + " SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session GROUP BY 1, 2"
     want = connect(FOLDER).execute(sql).fetchdf()
     assert len(want) and rows(catalog.QUERIES["co_discussed"](spark, FOLDER).toPandas()) == rows(want)
+
+
+def test_module_of_use_is_the_whole_path(spark):
+    want = {"use graph/snapshot": "graph/snapshot", "use graph/snapshot;": "graph/snapshot", "pub use a::b/c-d::e;": "a/b/c-d/e", "use std::io::Read; // x": "std/io/Read", "use plain": "plain", "useless": ""}
+    df = spark.createDataFrame(list(want.items()), "b string, want string")
+    assert {r["b"]: r["m"] for r in df.select("b", ids.module_of_import(F.col("b")).alias("m")).collect()} == want
+
+
+def linked(spark, imports, files, k=5):
+    entities = spark.createDataFrame([(i, "import_decl", repo, body) for i, (repo, body) in enumerate(imports)], "id long, node_table string, repo string, body string")
+    got = resolve.link_repos(entities, spark.createDataFrame(files, "repo string, path string"), k).collect()
+    return sorted((r["import_id"], r["repo"], r["path"]) for r in got)
+
+
+def links_by_hand(imports, files, k=5):
+    out = []
+    for i, (repo, body) in enumerate(imports):
+        module = body.removeprefix("use ").rstrip(";").replace("::", "/")
+        out += [(i, *f) for f in sorted({f for f in files if None not in f and f[0] != repo and module in f[1]})[:k]]
+    return sorted(out)
+
+
+def test_links_by_whole_modules(spark):
+    imports = [("r", "use graph/snapshot"), ("s", "use graph::snapshot;"), ("r", "use graph"), ("r", "use no/where")]
+    files = [("s", "src/graph/snapshot.rs"), ("s", "src/graph/other.rs"), ("r", "lib/graph/snapshot.rs"), ("t", "graph/snapshot/x.rs"), ("t", None)]
+    assert linked(spark, imports, files) == links_by_hand(imports, files)
