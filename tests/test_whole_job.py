@@ -66,3 +66,10 @@ def test_links_by_whole_modules(spark):
     imports = [("r", "use graph/snapshot"), ("s", "use graph::snapshot;"), ("r", "use graph"), ("r", "use no/where")]
     files = [("s", "src/graph/snapshot.rs"), ("s", "src/graph/other.rs"), ("r", "lib/graph/snapshot.rs"), ("t", "graph/snapshot/x.rs"), ("t", None)]
     assert linked(spark, imports, files) == links_by_hand(imports, files)
+
+
+def test_links_where_the_module_stands_inside_segments(spark):
+    imports = [("r", b) for b in ("use graph/snapshot", "use aph/snap", "use ap", "use x", "use very/long/module/name/of/parts", "use src/graph/snapshot_ab12.rs", "use graph/snapshots")] + [("s", "use graph/snapshot"), ("r", "use graph/snapshot")]
+    files = [("s", "src/graph/snapshot_ab12.rs"), ("t", "src/subgraph/snapshot.v2.rs"), ("t", "a/very/long/module/name/of/parts_1.rs"), ("s", "b/very/long/module/name/off/parts.rs"), ("r", "src/graph/snapshot.rs"), ("t", "x")] + [("u", f"graph/snapshot{i}.rs") for i in range(9)]
+    assert linked(spark, imports, files) == links_by_hand(imports, files)
+    assert linked(spark, imports, files, 50) == links_by_hand(imports, files, 50)
