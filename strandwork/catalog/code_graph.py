@@ -434,7 +434,7 @@ def _(g: Graph) -> DataFrame:
     "SELECT src, old_dst, line, coalesce(first_id, old_dst) AS dst, first_id IS NOT NULL AS resolved FROM (SELECT src, dst AS old_dst, line, coalesce(raw_callee, list_last(string_split(dst, '_'))) AS name FROM edges WHERE rel = 'calls' AND dst NOT IN (SELECT id FROM ents)) LEFT JOIN (SELECT name, min(id) AS first_id FROM fn WHERE name IS NOT NULL GROUP BY 1) USING (name)",
 )
 def _(g: Graph) -> DataFrame:
-    return resolve.resolve_calls(g.entities("node_table", "name"), g.rel("calls"))
+    return resolve.resolve_calls(g.entities("node_table", "name", "repo"), g.rel("calls"))
 
 
 @_add("http_endpoint_link", "SELECT DISTINCT c.id AS call_id, a.id AS endpoint_id FROM (SELECT dst AS id, lower(url_pattern) AS key FROM edges WHERE rel = 'calls_endpoint') c JOIN (SELECT id, lower(name) AS key FROM ents WHERE node_table = 'api') a USING (key)")

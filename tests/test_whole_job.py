@@ -73,3 +73,14 @@ def test_links_where_the_module_stands_inside_segments(spark):
     files = [("s", "src/graph/snapshot_ab12.rs"), ("t", "src/subgraph/snapshot.v2.rs"), ("t", "a/very/long/module/name/of/parts_1.rs"), ("s", "b/very/long/module/name/off/parts.rs"), ("r", "src/graph/snapshot.rs"), ("t", "x")] + [("u", f"graph/snapshot{i}.rs") for i in range(9)]
     assert linked(spark, imports, files) == links_by_hand(imports, files)
     assert linked(spark, imports, files, 50) == links_by_hand(imports, files, 50)
+
+
+CALL = "src string, dst string, repo string, line int, raw_callee string"
+FN = "id string, node_table string, name string, repo string"
+
+
+def test_lost_calls_stay_in_their_repo(spark):
+    entities = spark.createDataFrame([("f:a1", "function", "load", "a"), ("f:b1", "function", "load", "b"), ("f:b2", "function", "load", "b"), ("f:b3", "function", "only_b", "b"), ("c:a", "class", "Kind", "a")], FN)
+    calls = spark.createDataFrame([("s1", "x_load", "b", 1, "load"), ("s2", "x_load", "a", 2, "load"), ("s3", "x_only_b", "a", 3, "only_b"), ("s4", "b_x_load", "b", 4, ""), ("s5", "b_x_load", "b", 5, None), ("s6", "f:a1", "a", 6, "load"), ("s7", "x_Kind", "a", 7, "Kind"), ("s8", "x_load", None, 8, "load")], CALL)
+    got = {r["src"]: (r["old_dst"], r["line"], r["dst"], r["resolved"]) for r in resolve.resolve_calls(entities, calls).collect()}
+    assert got == {"s1": ("x_load", 1, "f:b1", True), "s2": ("x_load", 2, "f:a1", True), "s3": ("x_only_b", 3, "x_only_b", False), "s4": ("b_x_load", 4, "f:b1", True), "s5": ("b_x_load", 5, "f:b1", True), "s7": ("x_Kind", 7, "x_Kind", False), "s8": ("x_load", 8, "x_load", False)}
