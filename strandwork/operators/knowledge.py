@@ -143,7 +143,11 @@ def duplicate_of(entries: DataFrame, threshold: float = 0.7, prefix: int | None
 
     Entries of one bag are one class; only classes are joined.
     """
-    bagged = bags(entries, prefix=prefix).where(F.size("bag") > 0)
+    return _earlier(bags(entries, prefix=prefix).where(F.size("bag") > 0), threshold)
+
+
+def _earlier(bagged: DataFrame, threshold: float) -> DataFrame:
+    """``duplicate_of`` for entries with bags."""
     cls = classes_of(bagged)
     links = similar(cls.select("cls", "bag"), threshold).join(cls.select(F.col("cls").alias("b"), F.col("least").alias("b_least")), "b")
     per = links.groupBy(F.col("a").alias("cls")).agg(F.min("b_least").alias("other"), F.count(F.lit(1)).alias("n_links"))
@@ -156,15 +160,16 @@ def proposals(entries: DataFrame, threshold: float = 0.3, related: float = 0.4,
     """(from_id, to_id, relation, score): links that two entries' kinds and shared words suggest, between entries of one ``within``.
 
     Solutions solve problems, decisions are about problems and claims; other kinds are
-    related from ``related`` on; equal kinds and entries that duplicate an earlier one get
-    no link.  One entry per bag and kind, the first, stands for its copies.
+    related from ``related`` on; equal kinds and entries that duplicate an earlier one of
+    their ``within`` get no link.  One entry per bag and kind, the first, stands for its copies.
     """
     cutter = Cutter(entries.sparkSession, "proposals")
-    dup = duplicate_of(entries, duplicate, prefix).where(F.col("duplicate_of").isNotNull()).select("id")
-    bagged = bags(entries, "kind", within, prefix=prefix).where(F.size("bag") > 0).join(dup, "id", "left_anti")
+    bagged = bags(entries, "kind", within, prefix=prefix).where(F.size("bag") > 0)
     # words carry their group, so entries of two groups share none
     own = F.transform("bag", lambda w: F.concat(F.coalesce(F.col(within), F.lit("")), F.lit("\n"), w))
     bagged = cutter.cut(bagged.select("id", "kind", own.alias("bag")))
+    dup = _earlier(bagged.select("id", "bag"), duplicate).where(F.col("duplicate_of").isNotNull()).select("id")
+    bagged = cutter.cut(bagged.join(dup, "id", "left_anti"))
     cls = classes_of(bagged)
     kinds = bagged.select("id", F.coalesce("kind", F.lit("")).alias("kind"), F.md5(F.array_join("bag", " ")).alias("cls"))
     near = similar(cls.select("cls", "bag"), threshold)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork import catalog
 from strandwork.functions import ids
-from strandwork.operators import conversation, resolve
+from strandwork.operators import conversation, knowledge, resolve
 
 from .compare import connect, rows
 
@@ -84,3 +84,22 @@ def test_lost_calls_stay_in_their_repo(spark):
     calls = spark.createDataFrame([("s1", "x_load", "b", 1, "load"), ("s2", "x_load", "a", 2, "load"), ("s3", "x_only_b", "a", 3, "only_b"), ("s4", "b_x_load", "b", 4, ""), ("s5", "b_x_load", "b", 5, None), ("s6", "f:a1", "a", 6, "load"), ("s7", "x_Kind", "a", 7, "Kind"), ("s8", "x_load", None, 8, "load")], CALL)
     got = {r["src"]: (r["old_dst"], r["line"], r["dst"], r["resolved"]) for r in resolve.resolve_calls(entities, calls).collect()}
     assert got == {"s1": ("x_load", 1, "f:b1", True), "s2": ("x_load", 2, "f:a1", True), "s3": ("x_only_b", 3, "x_only_b", False), "s4": ("b_x_load", 4, "f:b1", True), "s5": ("b_x_load", 5, "f:b1", True), "s7": ("x_Kind", 7, "x_Kind", False), "s8": ("x_load", 8, "x_load", False)}
+
+
+def test_proposals_are_all_pairs_of_a_repo(spark):
+    w = lambda *n: " ".join(f"word{i}" for i in n)
+    texts = [("r", "problem", w(*range(10))), ("s", "solution", w(*range(10))), ("s", "problem", w(*range(8), 20)), ("s", "decision", w(*range(5), 21, 22)), ("r", "solution", w(*range(6), 23)), ("t", "solution", w(*range(10))), ("t", "claim", w(*range(4), 24)), ("t", "decision", w(*range(5), 25)), ("t", "problem", w(30, 31)), ("r", "note", "")]
+    e = spark.createDataFrame([(i, "", t, kind, repo) for i, (repo, kind, t) in enumerate(texts)], "id long, title string, content string, kind string, repo string")
+    bag = [set(t.split()) for _, _, t in texts]
+    score = lambda i, j: len(bag[i] & bag[j]) / len(bag[i] | bag[j])
+    kept = [j for j, (repo, _, _) in enumerate(texts) if bag[j] and not any(texts[i][0] == repo and bag[i] and score(i, j) >= 0.7 for i in range(j))]
+    fixed = {("solution", "problem"): "solves_for", ("decision", "problem"): "decided_about", ("decision", "claim"): "decided_about"}
+    want = set()
+    for i in kept:
+        for j in kept:
+            x, y = texts[i][1], texts[j][1]
+            if x != y and texts[i][0] == texts[j][0] and score(i, j) >= 0.3 and (y, x) not in fixed and (x, y) != ("problem", "solution"):
+                if relation := fixed.get((x, y)) or ("related_to" if score(i, j) >= 0.4 else None):
+                    want.add((i, j, relation, round(score(i, j), 6)))
+    assert len(kept) == 8 and want
+    assert {tuple(r) for r in knowledge.proposals(e).collect()} == want
