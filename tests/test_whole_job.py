@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork import catalog
 from strandwork.functions import ids
-from strandwork.operators import conversation, knowledge, resolve
+from strandwork.operators import conversation, knowledge, resolve, vectors
 
 from .compare import connect, rows
 
@@ -103,3 +103,11 @@ def test_proposals_are_all_pairs_of_a_repo(spark):
                     want.add((i, j, relation, round(score(i, j), 6)))
     assert len(kept) == 8 and want
     assert {tuple(r) for r in knowledge.proposals(e).collect()} == want
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_two_stage_recall(spark, folder):
+    v = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    exact = {(r["query_id"], r["vec_id"]) for r in vectors.cosine_topk(v, vectors.queries_of(v)).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in catalog.QUERIES["semantic_two_stage"](spark, f"/root/testdata/{folder}").collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
