@@ -9,6 +9,7 @@ executor, carry exact sizes for the planner, and are computed once, where
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,10 +21,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written steps: the session's, else one of our own (tests)."""
+    """The folder for written steps: the session's, else on a local master one of our own; elsewhere its absence is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="strandwork-")
@@ -42,7 +45,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @dataclass
 class Cutter:
-    """Writes steps under one folder; ``drop`` removes those no longer read."""
+    """Writes steps under one folder; ``drop`` removes one that is no longer read, ``only`` all but a result."""
 
     spark: SparkSession
     name: str
@@ -65,6 +68,14 @@ class Cutter:
         if path:
             _delete(self.spark, path)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """``df`` as the last step; all steps before it are removed."""
+        before, self.steps = self.steps, {}
+        last = self.cut(df)
+        for path in before.values():
+            _delete(self.spark, path)
+        return last
+
 
 #: Largest number of rows and bytes of a side that is ever hinted for broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
