@@ -1,25 +1,30 @@
 """Telling hand-written source from generated, minified, third-party and data files.
 
-Third-party copies are found across repositories.  Each file is the set of its
-long lines (hashes); copies with one set are one class, so hot groups collapse
-before any shuffle of lines.  An inverted index maps a line to how many classes
-hold it and to one holder in the smallest and in the largest repository that has
-it, so its size does not depend on how common a line is.  A file can be contained
-in a file of another repository only if enough of its lines are held elsewhere;
-that bound drops nearly all hand-written files.  For the rest the rarest half of
-such lines votes for holders, and containment is verified exactly on whole line
-sets.  Holders with a sixth of the votes are verified, which are six at most
-without any cap.
-
-All other files go through rules on the composition of their text: a header that
-says a tool wrote it, a foreign library's banner, lines of very few shapes
-(accessors, rows of data), long literals, and long lines almost without space.
-
-Defined results: a null content is not judged; an empty one is hand-written; names
-of files, stated languages, hashes and line counts are never trusted; mixed line
-ends are one; repeated scans count each, and scans of one repository never make
-each other third-party; a file that names its own repository in its header is no
-copy; empty tables give no rows.
+First containment.  Each file is the set of its lines; files with one set are one
+class, so exact copies collapse before any shuffle of lines.  An inverted index maps
+the hash of a line that several repositories hold to how many classes hold it and to
+one holder in the smallest and in the largest of these repositories, so its size does
+not depend on how common a line is.  A class can be contained in a file of another
+repository only if enough of its lines are in the index; that bound drops nearly all
+hand-written files.  A holder of ``SHARE`` of the lines holds at least one of the
+rarest ``held - needed + 1`` (the necessary prefix): the holders that the index names
+for these are compared first, line set by line set.  Only what none of them contains
+meets every holder of its prefix; lines of many holders are split into parts there.
+
+Then composition, for what containment leaves.  A file is brought to tokens (names,
+numbers, literals), without comments.  Tools and tables repeat themselves: within
+blocks of ``BLOCK`` lines few runs of three line shapes are distinct.  Data are nearly
+all literals, one long literal, or lines with digests; minified code is dense.  The
+only words that count are two marks that tools have agreed on (``_MARKS``).
+
+Both are taken from one pass over the texts, so no text is shuffled.
+
+Defined results: a null content is not judged; an empty one is hand-written; names of
+files, stated languages, hashes and line counts are never trusted; mixed line ends are
+one; repeated scans count each, and files of one repository, or without one, never
+make each other third-party; which of two repositories wrote a shared file cannot be
+told, so both are reported; files with fewer than ``SHARED`` countable lines are too
+short for evidence by lines; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,164 +34,153 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import Cutter, broadcast_if_small
+from ..plans.cut import Cutter
 
-#: A line counts from this length on; a copy shares this part of its lines and this many at least.
-LINE, SHARE, SHARED = 20, 0.6, 6
-#: Shapes of lines: a tool's or data file has this part of its lines in the commonest few.
-REPEATED, SHAPES, LINES = 0.93, 4, 8
-#: Minified: this part of the text in lines of this length, with few spaces and little of it in literals.  Data in long lines: nearly all.
-LONG_LINE, LONG_PART, SPACE, LONG_TEXT, LONG_DATA = 300, 0.6, 0.12, 0.4, 0.9
-#: Data: literals among words and literals; the part of one text literal; the part of lines of few shapes.
-LITERALS, BLOB, ROWS = 0.75, 0.6, 0.8
+#: A line counts from this length on; a copy shares this part of its lines, and evidence is this many lines at least.
+LINE, SHARE, SHARED = 10, 0.6, 4
+#: Classes of a line that one task meets at once; more are split.
+PART = 2_000
+#: Repetition: lines of a block, lines from which it is judged, and the part of distinct runs of three shapes below which it repeats itself.
+BLOCK, JUDGED, DISTINCT = 60, 10, 0.45
+#: Data: literals among all tokens; the part of one literal; the part of lines with a digest; the part of one shape.
+LITERALS, BLOB, DIGESTS, ROWS = 0.75, 0.6, 0.15, 0.7
+#: Minified: white space in the code, characters a line, least size.
+SPACE, DENSE, LEAST = 0.08, 80, 100
 
 _NEWLINE = re.compile(r"\r\n|\r|\n")
-_COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*(?:\s|/|$)|#(?!include|define|if|endif|\[|!\[)|--\s|--$|;;|<!--|\"\"\"|''')")
-_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
-_NUMBER = re.compile(r"(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[a-zA-Z]*")
-_NAME = re.compile(r"[^\W\d][\w$]*")
-_LIST = re.compile(r"(?:(?:[a0]|\"a\")\s*,\s*)+(?:[a0]|\"a\")?")
-#: What a header says when a tool wrote the file, at the start of a comment line.
-_MADE = re.compile(
-    r"\W*(?:(?:this (?:file|code|source|module)|file) (?:is|was|has been) (?:auto(?:matically)?[- ]?)?(?:generated|produced|emitted|written by (?:a|the) (?:tool|generator|script|compiler|program)|created by)\b"
-    r"|(?:code |file |source )?(?:auto(?:matically)?[- ]?)generated\b(?! files? (?:are|is))|@(?:auto)?generated\b|generated (?:code|file|source|by|from|with|automatically|using)\b|code generated\b|<auto-?generated"
-    r"|(?:please )?(?:do not|don'?t|never) (?:edit|modify|touch|change)\b|output of \S+ v?\d|emitted by\b|produced by \S+ v?\d|machine[- ]generated\b|compiled (?:by|from|with) \S+"
-    r"|changes (?:made )?(?:here |to this file )?(?:will be|are) (?:lost|overwritten|discarded)|.*\b(?:otomatik (?:olarak )?(?:üretil|oluşturul)|elle (?:değiştirmeyin|düzenlemeyin))|.*\bautomatisch (?:erzeugt|generiert|erstellt)|.*\bnicht (?:von hand |manuell )?(?:bearbeiten|ändern)"
-    r"|.*\b(?:généré|générée) (?:automatiquement|par)\b|.*\bne pas (?:modifier|éditer)\b|.*\b(?:generado|generada) (?:automáticamente|por)\b|.*\bno (?:editar|modificar)\b|.*\bсгенерирован|.*\bне (?:редактир|измен|прав)|.*自動生成|.*編集しないで)",
-    re.I,
+_BLANKS = re.compile(r"[ \t]+")
+_LEX = re.compile(
+    r"(?P<s>\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
+    r"|(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\s;])\#(?!include|define|if|endif|\[|!\[)[^\n]*|^[ \t]*(?:--|;;)[^\n]*|<!--.*?(?:-->|\Z))",
+    re.S | re.M,
 )
-#: What says that the file itself is kept by hand though it speaks of tools.
-_KEPT = re.compile(r"by hand(?!\s*[-,;.]*\s*(?:emitted|generated))|hand-?written|written manually|this (?:file|module) (?:itself )?(?:is|stays) (?:kept|maintained|not generated)|not (?:itself )?(?:auto-?)?generated", re.I)
-_NO_HAND = re.compile(r"(?:do not|don'?t|never|must not be|not be) (?:\w+ )?(?:edit|modif|touch|change)\w*(?: \w+)? by hand", re.I)
-_VERSION = re.compile(r"(?<![\w.])v?\d+\.\d+\.\d+(?:[-+][\w.]+)?(?![\w.])")
-_TERMS = re.compile(r"\b(?:MIT|ISC|BSD|zlib|Apache|MPL|LGPL|GPL|Unlicense|licen[cs]ed?|\(c\)|©|copyright|permission to use|small .{1,30} library)\b|\(c\)|©", re.I)
-_LITERAL_LINE = re.compile(r"[\w \[\]*.$:=&;]*[\"'`][A-Za-z0-9+/=_-]{200,}[\"'`]\s*[;,]?")
-
-
-def header(lines: list[str]) -> list[str]:
-    """The comment lines before the first code."""
-    out, block = [], False
-    for line in lines:
-        s = line.strip()
-        if block:
-            out.append(s)
-            block = "*/" not in s
-        elif not s or s.startswith("#!"):
-            continue
-        elif s.startswith("/*"):
-            head, _, tail = s.partition("*/")
-            out.append(head)
-            block = "*/" not in s
-            if tail.strip():
-                break
-        elif _COMMENT_LINE.match(line):
-            out.append(s)
-        else:
-            break
-    return out
-
-
-def shape(line: str) -> str:
-    """A line with names, numbers and strings as a, 0 and "a", and lists of them as one."""
-    s = _NAME.sub("a", _NUMBER.sub("0", _STRING.sub('"s"', line)))
-    return re.sub(r"\s+", " ", _LIST.sub("L", s)).strip()
-
-
-def rule(content: str, repo: str | None) -> str | None:
-    """'generated', 'third-party', 'minified' or 'data' by the file's own text, else None."""
-    lines = [x for x in _NEWLINE.split(content) if x.strip()]
+_NUMBER = re.compile(r"\b0[xX][0-9a-fA-F]+\w*|\b\d[\w.]*")
+_NAME = re.compile(r"[^\W\d][\w$]*")
+_LIST = re.compile(r"(?:[0\"] ?, ?)+[0\"]?")
+_DIGEST = re.compile(r"[\"'](?=[\w+/=:-]*\d)(?=[\w+/=:-]*[A-Za-z])[\w+/=:-]{24,}[\"']")
+# What tools write at the head of their output by public convention.
+_MARKS = re.compile(r"^\W*(?:Code generated .*DO NOT EDIT\.?\W*$|@generated\b)")
+_HEAD = re.compile(r"\s*(?://|/\*|\*|#(?!include|define|if|endif|\[|!\[)|--|;;|<!--)")
+
+
+def marked(text: str) -> bool:
+    """Whether a comment line before the first code is an agreed mark of a tool."""
+    for line in text.split("\n"):
+        if line.strip() and not _HEAD.match(line):
+            return False
+        if _MARKS.match(line):
+            return True
+    return False
+
+
+def composition(content: str) -> str | None:
+    """'generated', 'minified' or 'data' by the composition of the text, else None."""
+    text = content.replace("\r\n", "\n").replace("\r", "\n")
+    if marked(text):
+        return "generated"
+    longest = 0
+
+    def token(m: re.Match[str]) -> str:
+        nonlocal longest
+        if m.lastgroup == "c":
+            return " "
+        longest = max(longest, m.end() - m.start())
+        return '"'
+
+    code = _LEX.sub(token, text)
+    lines = [y for x in code.split("\n") if (y := x.strip())]
     if not lines:
         return None
-    head = header(lines)
-    own = bool(repo) and any(repo in x for x in head)
-    said = " ".join(head)
-    if any(_MADE.match(re.sub(r"^(?:/\*+!?|//+!?|#+|\*+|--+|<!--|;+)\s*", "", x)) for x in head) and not (_KEPT.search(_NO_HAND.sub("", said))):
-        return "generated"
-    if not own and len(head) >= 1 and _VERSION.search(said) and _TERMS.search(said) or re.match(r"\W*[A-Z][A-Z0-9]{4,} v?\d+\.\d+\.\d+\W*$", head[0] if head else ""):
-        return "third-party"
     size = sum(map(len, lines))
-    code = [x for x in lines if not _COMMENT_LINE.match(x)] or lines
-    body = "\n".join(code)
-    literals = _STRING.findall(body)
-    rest = _STRING.sub(" ", body)
-    numbers = _NUMBER.findall(rest)
-    names = _NAME.findall(_NUMBER.sub(" ", rest))
-    part = (len(literals) + len(numbers)) / max(1, len(literals) + len(numbers) + len(names))
-    if max(map(len, literals), default=0) >= BLOB * size and size >= LONG_LINE or any(len(x) >= BLOB * size and _LITERAL_LINE.match(x) for x in code if len(x) >= LONG_LINE):
+    if longest >= BLOB * (size + longest) and longest >= LEAST:
         return "data"
-    long = [x for x in code if len(x) >= LONG_LINE]
-    in_long = sum(map(len, long))
-    if in_long >= LONG_PART * size and sum(len(y) for x in long for y in _STRING.findall(x)) < LONG_TEXT * in_long:
-        if sum(x.count(" ") + x.count("\t") for x in long) < SPACE * in_long:
-            return "minified"
-    shapes = Counter(map(shape, code))
-    few = sum(n for _, n in shapes.most_common(SHAPES)) / len(code)
-    if part >= LITERALS and (few >= ROWS or in_long >= LONG_DATA * size):
+    if size >= LEAST and size >= DENSE * len(lines) and sum(map(code.count, " \t\n")) < SPACE * len(code):
+        dense = True
+    else:
+        dense = False
+    plain = _NUMBER.sub("0", _NAME.sub("a", "\n".join(lines)))
+    names, literals = plain.count("a"), plain.count("0") + plain.count('"')
+    if dense and literals < LITERALS * (names + literals):
+        return "minified"
+    shapes = _LIST.sub("L", _BLANKS.sub(" ", plain)).split("\n")
+    mean = size / len(lines)
+    if literals >= LITERALS * (names + literals) and (mean >= 4 * DENSE or literals > names and longest >= BLOB * size):
         return "data"
-    if len(code) >= LINES and few >= REPEATED and len(code) >= 3 * len(shapes):
-        return "data" if shapes.most_common(1)[0][1] >= 0.8 * len(code) else "generated"
-    return None
-
-
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kinds = [rule(c, r) for c, r in zip(b.column("content").to_pylist(), b.column("repo").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(kinds, pa.string())], names=["file_id", "rule"])
-
+    if len(shapes) < JUDGED:
+        return None
+    if len(_DIGEST.findall(text)) >= DIGESTS * len(lines):
+        return "data"
+    runs = distinct = 0
+    for at in range(0, len(shapes) - 2, BLOCK):
+        block = shapes[at : at + BLOCK + 2]
+        three = list(zip(block, block[1:], block[2:], strict=False))
+        runs += len(three)
+        distinct += len(set(three))
+    if distinct > DISTINCT * runs:
+        return None
+    return "data" if literals >= LITERALS * (names + literals) or Counter(shapes).most_common(1)[0][1] >= ROWS * len(shapes) else "generated"
 
-def line_sets(files: DataFrame) -> DataFrame:
-    """(file_id, repo, class, own, lines): the sorted distinct hashes of long lines, and a hash of them all."""
-    trimmed = F.transform(F.split(F.regexp_replace("content", "[ \t]+", " "), "\r\n|\r|\n"), lambda x: F.trim(x))
-    lines = F.array_sort(F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))))
-    head = F.substring_index(F.regexp_replace("content", "\r\n?", "\n"), "\n", 6)
-    own = (F.length("repo") > 0) & head.contains(F.concat(F.lit("of "), F.col("repo"), F.lit("."))) | head.contains(F.concat(F.lit("("), F.col("repo"), F.lit(")"))) | head.contains(F.concat(F.lit("the "), F.col("repo"), F.lit(" contributors")))
-    return files.select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce(own, F.lit(False)).alias("own"), lines.alias("lines")).withColumn("class", F.xxhash64("lines", F.size("lines")))
 
+def line_set(content: str) -> list[int]:
+    """The sorted distinct hashes of the lines that count, blanks as one space."""
+    kept = {y for x in _NEWLINE.split(content) if len(y := _BLANKS.sub(" ", x).strip(" ")) >= LINE}
+    return sorted(xxhash.xxh64_intdigest(x.encode(errors="surrogatepass")) - (1 << 63) for x in kept)
 
-def copies(files: DataFrame, judged: DataFrame | None = None) -> DataFrame:
-    """(file_id) of files whose lines a file of another repository holds to ``SHARE`` or more.
 
-    Files of ``judged(file_id)`` are known to be no source for other reasons and only meet
-    named holders.
-    """
-    cutter = Cutter(files.sparkSession, "copies")
-    sets = cutter.cut(line_sets(files).where(F.size("lines") >= SHARED))
-    classes = sets.groupBy("class").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.first("lines").alias("lines"))
-    classes = cutter.cut(classes)
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("content").to_pylist()
+        sets = [line_set(x) for x in texts]
+        names = [xxhash.xxh128_digest(pa.array(s, pa.int64()).to_numpy().tobytes()) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("file_id"), b.column("repo"), pa.array([composition(x) for x in texts], pa.string()), pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+            names=["file_id", "repo", "rule", "class", "lines"],
+        )
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """(file_id, repo, rule, class, lines) of files with content: what their text alone says, and their line set with its name of 128 bits."""
+    f = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("repo", F.lit("")).cast("string").alias("repo"), "content")
+    return f.mapInArrow(_facts, "file_id long, repo string, rule string, class binary, lines array<long>")
+
+
+def copied_classes(sets: DataFrame) -> DataFrame:
+    """(class) of the line sets ``sets(repo, class, lines)`` that a file of another repository holds to ``SHARE`` or more."""
+    cutter = Cutter(sets.sparkSession, "copies")
+    classes = cutter.cut(sets.where((F.size("lines") >= SHARED) & (F.col("repo") != "")).groupBy("class").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.first("lines").alias("lines")))
+    # a class of several repos is held by any other; two of them are enough to tell
     held = classes.select("class", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("repo"), "lines").select("class", "repo", F.explode("lines").alias("line"))
     holder = F.struct("repo", "class")
     index = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(holder).alias("a"), F.max(holder).alias("b")).where(F.col("a.repo") != F.col("b.repo"))
-    # a file's own repo may be any of its class's; a class found in two repos is a copy as it stands
     alone = classes.where(F.col("lo") == F.col("hi"))
-    holders = F.filter(F.array("a", "b"), lambda x: x["repo"] != F.col("repo"))
+    need = F.greatest(F.lit(SHARED), F.ceil(F.col("size") * SHARE - 1e-9).cast("int"))
+    others = F.transform(F.filter(F.array("a", "b"), lambda x: x["repo"] != F.col("repo")), lambda x: x["class"])
     seen = (
         alone.select("class", F.col("lo").alias("repo"), F.size("lines").alias("size"), F.explode("lines").alias("line"))
         .join(index, "line")
-        .select("class", "repo", "size", "n", "line", F.transform(holders, lambda x: x["class"]).alias("others"))
+        .select("class", "repo", "size", "n", "line", others.alias("others"))
         .groupBy("class", "repo", "size")
         .agg(F.array_sort(F.collect_list(F.struct("n", "line", "others"))).alias("held"))  # a file's own lines
-        .where(F.size("held") >= F.greatest(F.lit(SHARED), F.ceil(F.col("size") * SHARE)))
+        .where(F.size("held") >= need)
     )
-    # a file that holds SHARE of the lines holds some of the rarest 1 - SHARE and one more
-    rarest = F.slice("held", F.lit(1), F.size("held") - F.floor(F.size("held") * SHARE).cast("int") + 1)
-    seen = cutter.cut(seen.select("class", "repo", rarest.alias("rarest")))
+    prefix = F.slice("held", F.lit(1), F.size("held") - need + 1)
+    seen = cutter.cut(seen.select("class", "repo", prefix.alias("rarest")))
     named = seen.select("class", F.explode(F.array_distinct(F.flatten(F.transform("rarest", lambda v: v["others"])))).alias("other"))
     edited = cutter.cut(_contained(classes, named))
     found = classes.where(F.col("lo") != F.col("hi")).select("class").unionByName(edited)
-    # what the named holders do not hold meets every holder of its rarest lines
-    left = seen.join(edited, "class", "left_anti")
-    if judged is not None:
-        left = left.join(sets.join(judged.select("file_id"), "file_id", "left_anti").select("class").distinct(), "class", "left_semi")
-    rest = cutter.cut(left.select("class", "repo", F.explode(F.transform("rarest", lambda v: v["line"])).alias("line")))
-    if rest.limit(1).count():
-        wanted = broadcast_if_small(rest.select("line").distinct(), 16)
-        every = held.join(wanted, "line", "left_semi").select("line", F.col("class").alias("other"), F.col("repo").alias("their_repo"))
-        more = rest.join(every, "line").where(F.col("repo") != F.col("their_repo")).select("class", "other").distinct()
+    left = cutter.cut(seen.join(edited, "class", "left_anti").select("class", "repo", F.explode("rarest").alias("v")).select("class", "repo", F.col("v.n").alias("n"), F.col("v.line").alias("line")))
+    if left.limit(1).count():
+        # a line of many holders is split: each of its parts meets the line's own part of the holders
+        wanted = left.groupBy("line").agg(F.ceil(F.max("n") / PART).alias("parts"))
+        every = held.join(wanted, "line").select("line", F.col("class").alias("other"), F.col("repo").alias("their_repo"), F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"))
+        mine = left.select("class", "repo", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PART) - 1)).alias("part"))
+        more = mine.join(every, ["line", "part"]).where(F.col("repo") != F.col("their_repo")).select("class", "other").distinct()
         found = found.unionByName(_contained(classes, more))
-    return sets.where(~F.col("own")).join(found.distinct(), "class", "left_semi").select("file_id")
+    return cutter.only(found.distinct())
 
 
 def _contained(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -194,13 +188,24 @@ def _contained(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = classes.select(F.col("class").alias("other"), F.col("lines").alias("theirs"))
     shared = F.size(F.array_intersect("lines", "theirs"))
     both = pairs.join(classes.select("class", "lines"), "class").join(sides, "other")
-    return both.where((shared >= SHARED) & (shared >= F.size("lines") * SHARE)).select("class").distinct()
+    return both.where((shared >= SHARED) & (shared >= F.size("lines") * SHARE - 1e-9)).select("class").distinct()
+
+
+def copies(files: DataFrame) -> DataFrame:
+    """(file_id) of files whose lines a file of another repository holds to ``SHARE`` or more."""
+    cutter = Cutter(files.sparkSession, "lines")
+    known = cutter.cut(facts(files).select("file_id", "repo", "class", "lines"))
+    return cutter.only(known.join(copied_classes(known), "class", "left_semi").select("file_id"))
 
 
 def kinds(files: DataFrame) -> DataFrame:
-    """(file_id, kind): 'third-party', 'generated', 'minified', 'data' or 'hand-written' for every file with content."""
-    f = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "repo", "content")
-    judged = Cutter(files.sparkSession, "kinds").cut(f.select("file_id", "repo", "content").mapInArrow(_judged, "file_id long, rule string"))
-    copied = copies(f, judged.where(F.col("rule").isNotNull())).distinct().select(F.col("file_id").alias("copied"))
-    kind = F.coalesce("rule", F.when(F.col("copied").isNotNull(), F.lit("third-party")), F.lit("hand-written"))
-    return judged.join(copied, F.col("file_id") == F.col("copied"), "left").select("file_id", kind.alias("kind"))
+    """(file_id, kind, step) of every file with content.
+
+    ``kind`` is 'third-party' where containment decided (``step`` 'containment'), else
+    'generated', 'minified' or 'data' ('composition'), else 'hand-written' ('').
+    """
+    cutter = Cutter(files.sparkSession, "kinds")
+    known = cutter.cut(facts(files))
+    copied = copied_classes(known).select("class", F.lit("third-party").alias("copied"))
+    step = F.when(F.col("copied").isNotNull(), "containment").when(F.col("rule").isNotNull(), "composition").otherwise("")
+    return cutter.only(known.select("file_id", "class", "rule").join(copied, "class", "left").select("file_id", F.coalesce("copied", "rule", F.lit("hand-written")).alias("kind"), step.alias("step")))

@@ -17,6 +17,10 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.kinds(table(spark, d, "source_files"))
 
 
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.copies(table(spark, d, "source_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_items(pieces.pieces(table(spark, d, "indexed_content")))
 
@@ -65,5 +69,16 @@ def p9_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.groups(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p4_found, p4_pieces, p5_found, p5_pairs, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_forms, p9_groups)}
-ORACLE = {"p4_found": "SELECT item_id FROM indexed_content WHERE octet_length(encode(body)) > 4096"}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_copies, p4_found, p4_pieces, p5_found, p5_pairs, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_forms, p9_groups)}
+_LINES = """
+WITH l AS (
+  SELECT DISTINCT file_id, repo, trim(regexp_replace(unnest(regexp_split_to_array(content, '\r\n|\r|\n')), '[ \t]+', ' ', 'g'), ' ') AS line
+  FROM source_files WHERE coalesce(repo, '') <> ''),
+k AS (SELECT * FROM l WHERE length(line) >= 10),
+n AS (SELECT file_id, count(*) AS n FROM k GROUP BY 1),
+p AS (SELECT a.file_id, b.file_id AS other, count(*) AS shared FROM k a JOIN k b ON a.line = b.line AND a.repo <> b.repo GROUP BY 1, 2)
+"""
+ORACLE = {
+    "p1_copies": _LINES + "SELECT DISTINCT file_id FROM p JOIN n USING (file_id) WHERE shared >= 4 AND shared >= 0.6 * n - 1e-9",
+    "p4_found": "SELECT item_id FROM indexed_content WHERE octet_length(encode(body)) > 4096",
+}
