@@ -19,7 +19,7 @@ def _brute(docs, items):
     return out
 
 
-def test_matches_scan_and_blocks_do_not_matter(spark):
+def test_matches_scan_and_the_bitmap_does_not_matter(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(25)] + ["the", "of", "a_b", "Ünal"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -38,6 +38,6 @@ def test_matches_scan_and_blocks_do_not_matter(spark):
     want = _brute(docs, items)
     assert len(want) > 20
     assert sorted(map(tuple, x.leaks(d, q).collect())) == sorted(want)
-    assert sorted(map(tuple, x.leaks(d, q, block_words=200).collect())) == sorted(want)
+    assert sorted(map(tuple, x.leaks(d, q, most_bits=6).collect())) == sorted(want)
     assert x.leaks(d.limit(0), q).count() == 0 and x.leaks(d, q.limit(0)).count() == 0
     assert sum(r["n_docs"] for r in x.report(x.leaks(d, q)).collect()) == len(want)
