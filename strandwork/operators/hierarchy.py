@@ -19,6 +19,8 @@ read, so their names cannot clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +35,28 @@ def contains_edges(edges: DataFrame) -> DataFrame:
 def _doubled(cutter: Cutter, inner: DataFrame, path: bool) -> DataFrame:
     """(node, anc, dist, done[, path]) of the inner nodes; what is not done never meets a root."""
     state = cutter.cut(inner.select("node", "anc", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("done"), *([F.array("anc").alias("path")] if path else [])))
-    left = state.count()
+    left, settled = state.count(), []
     while left:
-        t = state.select(F.col("node").alias("t_node"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"), *([F.col("path").alias("t_path")] if path else []))
+        # rows that a round settles stay in its step
+        open_rows = state.where(~F.col("done"))
+        t = reduce(DataFrame.unionByName, [*settled, open_rows]).select(F.col("node").alias("t_node"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"), *([F.col("path").alias("t_path")] if path else []))
         far = F.col("t_node").isNotNull()
-        moved = (
-            state.where(~F.col("done"))
-            .join(t, F.col("anc") == F.col("t_node"), "left")
-            .select(
-                "node",
-                F.when(far, F.col("t_anc")).otherwise(F.col("anc")).alias("anc"),
-                F.when(far, F.col("dist") + F.col("t_dist")).otherwise(F.col("dist")).alias("dist"),
-                F.when(far, F.col("t_done")).otherwise(F.lit(True)).alias("done"),
-                *([F.when(far, F.concat("t_path", "path")).otherwise(F.col("path")).alias("path")] if path else []),
-            )
+        moved = open_rows.join(t, F.col("anc") == F.col("t_node"), "left").select(
+            "node",
+            F.when(far, F.col("t_anc")).otherwise(F.col("anc")).alias("anc"),
+            F.when(far, F.col("dist") + F.col("t_dist")).otherwise(F.col("dist")).alias("dist"),
+            F.when(far, F.col("t_done")).otherwise(F.lit(True)).alias("done"),
+            *([F.when(far, F.concat("t_path", "path")).otherwise(F.col("path")).alias("path")] if path else []),
         )
-        after = cutter.cut(state.where("done").unionByName(moved))
-        cutter.drop(state)
+        after = cutter.cut(moved)
+        if not settled:
+            cutter.drop(state)
+        settled.append(after.where("done"))
         state, before = after, left
         left = state.where(~F.col("done")).count()
         if left == before:
             break
-    return state
+    return reduce(DataFrame.unionByName, [*settled, state.where(~F.col("done"))])
 
 
 def hierarchy(links: DataFrame, path: bool = True) -> DataFrame:
