@@ -25,11 +25,12 @@ from ..plans.cut import Cutter
 MILLIS = 100_000_000_000
 
 
-def streams(events: DataFrame) -> DataFrame:
-    """(stream, at, repo, kind, detail): usable events with their stream and time in seconds, repeats once."""
+def streams(events: DataFrame, once: bool = True) -> DataFrame:
+    """(stream, at, repo, kind, detail): usable events with their stream and time in seconds, repeats ``once``."""
     at = F.when(F.col("ts") > MILLIS, F.floor(F.col("ts") / 1000)).otherwise(F.col("ts")).cast("long")
     stream = F.when(F.coalesce("session_id", F.lit("")) != "", F.col("session_id")).otherwise(F.concat(F.lit("legacy/"), F.coalesce("repo", F.lit(""))))
-    return events.where(F.col("ts") != 0).select("ts", "repo", "kind", "session_id", "detail").distinct().select(stream.alias("stream"), at.alias("at"), "repo", "kind", "detail")
+    e = events.where(F.col("ts") != 0).select("ts", "repo", "kind", "session_id", "detail")
+    return (e.distinct() if once else e).select(stream.alias("stream"), at.alias("at"), "repo", "kind", "detail")
 
 
 def _roots(cutter: Cutter, cells: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def sessions(events: DataFrame, gap: int = 1800, kinds: bool = True) -> DataFram
     shuffle on (stream, cell); sessions add up cells.
     """
     cutter = Cutter(events.sparkSession, "sessions")
-    e = streams(events).withColumn("cell", F.floor(F.col("at") / gap).cast("long"))
+    # repeats move neither the first nor the last time of a cell
+    e = streams(events, once=kinds).withColumn("cell", F.floor(F.col("at") / gap).cast("long"))
     keys = ["stream", "cell"]
     if kinds:
         by_kind = e.groupBy(*keys, F.coalesce("kind", F.lit("")).alias("kind")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
