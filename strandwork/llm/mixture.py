@@ -14,8 +14,9 @@ fall short, and the report says by how much.
 Defined results: source names are compared without case and outer white space; a
 null or unlisted source, a null or tokenless text is not used; a null share or cap
 counts as 0 or 1; a source listed twice adds its shares and takes the smaller cap;
-repeated rows are documents of their own; empty tables give no rows; columns beside
-the id, source and text are not read.
+repeated rows are documents of their own, and toss one coin where id and text are the
+same (each its own where the id is null); empty tables give no rows; columns beside the
+id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -27,21 +28,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import Cutter
+from ..plans.cut import Cutter, broadcast_if_small
 
 #: A tiktoken rank file of a public tokenizer, and the pattern its words are split by.
 TOKENIZER = os.environ.get("STRANDWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Sources that the targets may list: their rates go to every task.
-MAX_SOURCES = 100_000
 _LOADED: dict[str, object] = {}
 
 
 def _encoding(path: str):
     if path not in _LOADED:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
@@ -61,15 +61,18 @@ def _key(source: Column) -> Column:
 
 
 def counted(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of usable documents."""
+    """(doc_id, source, tokens, body) of usable documents; ``body`` is a hash of the text, by which documents without an id toss coins of their own.
+
+    The tokenizer's file is sent to the tasks, as their machines need not have it.
+    """
+    if os.path.exists(tokenizer):
+        docs.sparkSession.sparkContext.addFile(tokenizer)
     d = docs.where(F.col("text").isNotNull() & (_key(F.col("source")) != "")).select("doc_id", _key(F.col("source")).alias("source"), "text")
-    return d.select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("tokens")).where(F.col("tokens") > 0)
+    return d.select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("tokens"), F.xxhash64("text").alias("body")).where(F.col("tokens") > 0)
 
 
 def rates(counted_docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, target_share, max_repeats, docs, tokens, rate), one row per listed source."""
-    if targets.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources are listed")
     t = targets.where(_key(F.col("source")) != "").groupBy(_key(F.col("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     n = counted_docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     both = t.join(n, "source", "left").fillna(0, ["docs", "tokens"])
@@ -87,12 +90,14 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     runs from 1 to at most the source's cap.
     """
     cutter = Cutter(docs.sparkSession, "mixture")
-    c = cutter.cut(counted(docs, tokenizer))
+    c = cutter.cut(counted(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()))
     r = cutter.cut(rates(c, targets, total))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tokens"), F.lit(1 << 40)) / float(1 << 40)
+    # rows without an id are told apart by their place in the written table
+    place = F.when(F.col("doc_id").isNull(), F.col("row"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "body", place), F.lit(1 << 40)) / float(1 << 40)
     whole = F.floor("rate")
     copies = (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("int")
-    used = c.join(F.broadcast(r.select("source", "rate")), "source").withColumn("copies", copies).where(F.col("copies") > 0)
+    used = c.join(broadcast_if_small(r.select("source", "rate"), 256), "source").withColumn("copies", copies).where(F.col("copies") > 0)
     mixed = used.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     all_of = got.agg(F.sum("mixed_tokens").alias("all_tokens"))

@@ -46,3 +46,10 @@ def test_awkward_tables(spark, docs):
     assert mixed.count() == 0 and report.count() == 2
     mixed, report = m.mix(docs, targets.limit(0))
     assert mixed.count() == 0 and report.count() == 0
+
+
+def test_rows_without_an_id_toss_their_own_coins(spark):
+    rows = [(None, "the very same text of all of them", "big", 1)] * 900 + [(i, "a small one", "small", 1) for i in range(100)]
+    targets = spark.createDataFrame([("big", 0.5, 1, 0), ("small", 0.5, 1, 0)], TARGET)
+    mixed, report = m.mix(spark.createDataFrame(rows, DOC), targets)
+    assert all(abs(r["actual_share"] - 0.5) < 0.1 for r in report.collect())
