@@ -3,9 +3,10 @@
 A text is decomposed, every character is replaced by its prototype, the result is
 decomposed again and composed for output.  Equal looks give equal skeletons.
 
-Made equal: width, composed and combining accents, ligatures, Roman-numeral signs,
-invisible characters, kinds of space, line ends, look-alike letters of another
-script.  Kept apart: letter case, accents, digits, punctuation, the number of
+Made equal: width, styled letters and digits of mathematics, composed and combining
+accents, ligatures, Roman-numeral signs, invisible characters, kinds of space, line
+ends, look-alike letters of another script.  The letters are a list of common ones, or
+the file of public confusables that ``STRANDWORK_CONFUSABLES`` names.  Kept apart: letter case, accents, digits, punctuation, the number of
 spaces.  A zero-width joiner between two pictographs stays, since it changes what
 is drawn.
 
@@ -17,6 +18,7 @@ other; empty tables give no rows; only the id and text columns are read.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 
@@ -47,19 +49,35 @@ def _prototype(cp: int) -> str | None:
     if kind == "Zs":
         return None if cp in (0x20, 0x1680) else " "
     tag, _, parts = unicodedata.decomposition(ch).partition(" ")
-    if tag in ("<wide>", "<narrow>", "<noBreak>"):
+    if tag in ("<wide>", "<narrow>", "<noBreak>", "<font>"):
         return unicodedata.normalize("NFKD", ch)
     if tag == "<compat>" and cp != _LONG_S and all(chr(int(x, 16)).isalpha() for x in parts.split()):
         return unicodedata.normalize("NFKD", ch)
     return None
 
 
+#: A file in the format of the public table of confusables (source ; prototype ; …), read in place of the lists above.
+CONFUSABLES = os.environ.get("STRANDWORK_CONFUSABLES", "")
+
+
+def confusables(path: str) -> dict[int, str]:
+    """The pairs of a file of confusables that stand for one Latin letter of the same case in another script; digits, signs and letters of Latin itself differ to the eye."""
+    found = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [[int(x, 16) for x in p.split()] for p in line.split("#")[0].split(";")[:2] if p.strip()]
+            if len(parts) == 2 and len(parts[0]) == len(parts[1]) == 1:
+                a, b = chr(parts[0][0]), chr(parts[1][0])
+                if b.isascii() and b.isalpha() and a.isalpha() and not a.isascii() and a.islower() == b.islower() and not unicodedata.name(a, "LATIN").startswith("LATIN"):
+                    found[ord(a)] = b
+    return found
+
+
 @functools.lru_cache(1)
 def prototypes() -> dict[int, str]:
-    """The look-alike table, one entry per character that is replaced: the Unicode database by rule, and letters by the lists above."""
+    """The look-alike table, one entry per character that is replaced: the Unicode database by rule, and letters by the lists above or a file."""
     found = {cp: p for cp in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)) if (p := _prototype(cp)) is not None}
-    found |= {ord(x[0]): x[1] for line in (_CYRILLIC, _GREEK, _OTHER) for x in line.split()}
-    return found
+    return found | (confusables(CONFUSABLES) if CONFUSABLES else {ord(x[0]): x[1] for line in (_CYRILLIC, _GREEK, _OTHER) for x in line.split()})
 
 
 def _pictograph(ch: str) -> bool:

@@ -13,13 +13,19 @@ from strandwork.llm import lookalike as k
     [
         ("\uff37\uff49\uff44\uff45 \uff11\uff12", "Wide 12"), ("cafe\u0301", "caf\u00e9"), ("\ufb01ne \ufb02ow", "fine flow"), ("a\u200bb\u00adc\ufeff\u2060\u200e", "abc"),
         ("a\u00a0b\u2009c\u202fd\u3000e", "a b c d e"), ("p\u0430ssw\u043erd", "password"), ("\u039f\u03bfps", "Oops"), ("\u2167", "VIII"), ("\uff8a\uff9f", "\u30d1"), ("a\r\nb", "a\nb"),
-        ("\u0439", "\u0438\u0306"), ("\u212b", "\u00c5"), ("x\u200dy", "xy"), ("\u0133", "ij"), ("\u0435\u0301", "\u00e9"),
+        ("\u0439", "\u0438\u0306"), ("\u212b", "\u00c5"), ("x\u200dy", "xy"), ("\u0133", "ij"), ("\u0435\u0301", "\u00e9"), ("\U0001d400\u212f\U0001d7ce", "Ae0"),
     ],
 )
 def test_same(a, b):
     assert k.skeleton(a) == k.skeleton(b)
 
 
+def test_a_file_of_confusables(tmp_path):
+    f = tmp_path / "confusables.txt"
+    f.write_text("\ufeff# head\n10411 ; 006C ; MA # other case rules\n0455 ;\t0073 ;\tMA\n0417 ; 0033 ; MA\n0031 ; 006C ; MA\n006D ; 0072 006E ; MA\n0399 ; 006C ; MA\n", "utf-8")
+    assert k.confusables(str(f)) == {0x455: "s"}
+
+
 @pytest.mark.parametrize(
     "a, b",
     [("a", "A"), ("e", "\u00e9"), ("\u0131", "i"), ("1", "l"), ("0", "O"), ("a b", "a  b"), ("a.", "a!"), ("x\u00b2", "x2"), ("\U0001f469\u200d\U0001f4bb", "\U0001f469\U0001f4bb"), ("\ta", " a"), ("a\nb", "a b"), ("\u017f", "s"), ("\u00df", "ss"), ("-", "\u2014"), ("m", "rn")],
