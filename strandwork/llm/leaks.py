@@ -38,7 +38,7 @@ RUN, SHINGLE = 12, 3
 WINDOW = RUN - SHINGLE + 1
 #: The bitmap of item shingles has at most two to this many bits (32 MB).
 MOST_BITS = 28
-_WORD = re.compile(r"[\ẁ-ͯ]+")
+_WORD = re.compile("[\\w" + chr(0x300) + "-" + chr(0x36F) + "]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
