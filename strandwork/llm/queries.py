@@ -29,16 +29,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "indexed_content"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docs.pairs(table(spark, d, "code_entities"), table(spark, d, "code_edges"))
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.coverage(p4_pieces(spark, d)).withColumn("longest", F.col("longest") <= pieces.LIMIT)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where(F.col("origin") == "own").select("row_id")
+    return docs.documented(table(spark, d, "code_entities")).select("row_id")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)
+    return docs.pairs(table(spark, d, "code_entities"), table(spark, d, "code_edges"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p9_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.groups(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_copies, p4_found, p4_pieces, p5_found, p5_pairs, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_forms, p9_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_copies, p4_found, p4_pieces, p4_coverage, p5_found, p5_pairs, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_forms, p9_groups)}
 _LINES = """
 WITH l AS (
   SELECT DISTINCT file_id, repo, trim(regexp_replace(unnest(regexp_split_to_array(content, '\r\n|\r|\n')), '[ \t]+', ' ', 'g'), ' ') AS line
@@ -81,4 +81,5 @@ p AS (SELECT a.file_id, b.file_id AS other, count(*) AS shared FROM k a JOIN k b
 ORACLE = {
     "p1_copies": _LINES + "SELECT DISTINCT file_id FROM p JOIN n USING (file_id) WHERE shared >= 4 AND shared >= 0.6 * n - 1e-9",
     "p4_found": "SELECT item_id FROM indexed_content WHERE octet_length(encode(body)) > 4096",
+    "p4_coverage": "SELECT item_id, octet_length(encode(body)) AS n_bytes, true AS longest, 0 AS gaps, 0 AS misfits, sha256(body) AS whole FROM indexed_content WHERE octet_length(encode(body)) > 4096",
 }

@@ -1,5 +1,6 @@
 """Pieces cover their text, stay under the limit, share the overlap and follow a sequential cut."""
 
+import hashlib
 import random
 
 import pytest
@@ -88,3 +89,20 @@ def test_frame(spark):
     for r in out.collect():
         assert len(r["piece"].encode()) == r["end_byte"] - r["start_byte"] <= 4096
     assert p.pieces(items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["word and word, " * 3000, "x" * 40_000, "é" * 9_000 + "\n\n" + "a b. " * 5_000, "\r\n" * 20_000])
+def test_windows_do_not_matter(monkeypatch, text):
+    whole = p.cuts(text.encode())
+    monkeypatch.setattr(p, "WINDOW", 5_000)
+    assert p.cuts(text.encode()) == whole
+
+
+def test_coverage_and_small_batches(spark, monkeypatch):
+    texts = ["word and word. " * 1000, "é" * 5000, "short", "x\r\n" * 3000]
+    monkeypatch.setattr(p, "OUT", 1)
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, body string")
+    got = {r["item_id"]: r for r in p.coverage(p.pieces(items)).collect()}
+    assert set(got) == {0, 1, 3}
+    for i, r in got.items():
+        assert (r["n_bytes"], r["gaps"], r["misfits"], r["whole"]) == (len(texts[i].encode()), 0, 0, hashlib.sha256(texts[i].encode()).hexdigest()) and r["longest"] <= p.LIMIT
