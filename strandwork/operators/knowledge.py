@@ -5,6 +5,8 @@ An entry is (id, title, content, kind, repo, confidence, tags, created_at, updat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,33 +105,50 @@ def bags(entries: DataFrame, *cols: str, prefix: int | None = None) -> DataFrame
     return entries.select("id", *cols, F.array_sort(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), text))).alias("bag"))
 
 
+#: Longs of a bag's signature.
+LONGS = 8
+
+
 def similar(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score) of word bags ``classes(cls, bag)`` with a Jaccard similarity of at least ``threshold``, both directions.
 
     Bags are ordered by rarity of their words over all bags.  Two bags as similar as that
     share a word among the first size - ceil(threshold x size) + 1 of each; only those
     words are joined, under the bounds on sizes, and each pair is verified in whole.
+    Before that, signatures drop nearly all pairs inside the join: a signature holds for
+    each of its bits whether an odd number of the bag's words falls on it, so two of them
+    differ in no more bits than the bags in words.
     """
     cutter = Cutter(classes.sparkSession, "similar")
-    c = cutter.cut(classes.where(F.size("bag") > 0))
-    w = c.select("cls", F.size("bag").alias("n"), F.explode("bag").alias("w"))
+    # pairs are made of numbers, not of names
+    named = cutter.cut(classes.where(F.size("bag") > 0).select(F.col("cls").alias("name"), "bag", F.monotonically_increasing_id().alias("cls")))
+    c = named.select("cls", "bag")
+    w = c.select("cls", F.size("bag").alias("n"), F.explode(F.transform("bag", lambda x: F.xxhash64(x))).alias("w"))
     df = w.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = w.join(df, "w").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    spot = F.pmod("w", F.lit(64 * LONGS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(w, {64 * LONGS}) & 63 as int))")
+    signature = [F.bit_xor(F.when(F.shiftright(spot, 6) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(LONGS)]
+    signs = [f"s{i}" for i in range(LONGS)]
+    ranked = w.join(df, "w").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"), *signature)
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     # a word that no other bag has joins nothing
-    pre = ranked.select("cls", "n", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("pos", "x")).where(F.col("x.df") > 1).select("cls", "n", "pos", F.col("x.w").alias("w"))
+    pre = ranked.select("cls", "n", *signs, F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("pos", "x")).where(F.col("x.df") > 1).select("cls", "n", *signs, "pos", F.col("x.w").alias("w"))
     pre = cutter.cut(pre)
-    a, b = (pre.select("w", F.col("cls").alias(f"{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}")) for s in "ab")
+    a, b = (pre.select("w", F.col("cls").alias(f"{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *(F.col(x).alias(f"{s}{x}") for x in signs)) for s in "ab")
     # the overlap still possible after the positions where a shared word stands must reach what the threshold asks
     need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9))
     # a pair's first shared word leaves the most room, so a pair that may reach the threshold passes there
-    cand = near.where(room >= need).select("a", "b").distinct()
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in signs))
+    cand = near.where((room >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b").distinct()
     both = cand.join(c.select(F.col("cls").alias("a"), F.col("bag").alias("x")), "a").join(c.select(F.col("cls").alias("b"), F.col("bag").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     score = inter / (F.size("x") + F.size("y") - inter)
-    hits = cutter.cut(both.select("a", "b", score.alias("score")).where(F.col("score") >= threshold))
+    hits = both.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    name = named.select("cls", "name")
+    hits = hits.join(name.select(F.col("cls").alias("a"), F.col("name").alias("x")), "a").join(name.select(F.col("cls").alias("b"), F.col("name").alias("y")), "b")
+    hits = cutter.only(hits.select(F.col("x").alias("a"), F.col("y").alias("b"), "score"))
     return hits.unionByName(hits.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
 
