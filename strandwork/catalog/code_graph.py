@@ -431,15 +431,15 @@ def _(g: Graph) -> DataFrame:
 
 @_add(
     "resolve_call_targets",
-    "SELECT src, old_dst, line, coalesce(first_id, old_dst) AS dst, first_id IS NOT NULL AS resolved FROM (SELECT src, dst AS old_dst, line, coalesce(raw_callee, list_last(string_split(dst, '_'))) AS name FROM edges WHERE rel = 'calls' AND dst NOT IN (SELECT id FROM ents)) LEFT JOIN (SELECT name, min(id) AS first_id FROM fn WHERE name IS NOT NULL GROUP BY 1) USING (name)",
+    "SELECT src, old_dst, line, coalesce(first_id, old_dst) AS dst, first_id IS NOT NULL AS resolved FROM (SELECT src, dst AS old_dst, line, repo, coalesce(nullif(raw_callee, ''), list_last(string_split(dst, '_'))) AS name FROM edges WHERE rel = 'calls' AND dst NOT IN (SELECT id FROM ents)) LEFT JOIN (SELECT repo, name, min(id) AS first_id FROM fn WHERE name IS NOT NULL GROUP BY 1, 2) USING (repo, name)",
 )
 def _(g: Graph) -> DataFrame:
     return resolve.resolve_calls(g.entities("node_table", "name", "repo"), g.rel("calls"))
 
 
-@_add("http_endpoint_link", "SELECT DISTINCT c.id AS call_id, a.id AS endpoint_id FROM (SELECT dst AS id, lower(url_pattern) AS key FROM edges WHERE rel = 'calls_endpoint') c JOIN (SELECT id, lower(name) AS key FROM ents WHERE node_table = 'api') a USING (key)")
+@_add("http_endpoint_link", "SELECT DISTINCT c.id AS call_id, a.id AS endpoint_id FROM (SELECT src AS id, lower(method || ' ' || url_pattern) AS key FROM edges WHERE rel = 'calls_endpoint') c JOIN (SELECT id, lower(name) AS key FROM ents WHERE node_table = 'api') a USING (key)")
 def _(g: Graph) -> DataFrame:
-    calls = g.rel("calls_endpoint").select(F.col("dst").alias("id"), F.col("url_pattern").alias("name"))
+    calls = g.rel("calls_endpoint").select(F.col("src").alias("id"), F.concat("method", F.lit(" "), "url_pattern").alias("name"))
     return resolve.link_endpoints(calls, g.entities("node_table", "name").where(F.col("node_table") == "api").select("id", "name"))
 
 
@@ -504,8 +504,7 @@ def _(g: Graph) -> DataFrame:
 )
 def _(g: Graph) -> DataFrame:
     f = g.table("source_files").select("repo", "path", "hash", "indexed_at", "file_id")
-    last = lambda df: df.groupBy("repo", "path").agg(F.max_by(F.coalesce("hash", F.lit("")), F.struct("indexed_at", "file_id")).alias("hash")).withColumn("hash", F.when(F.col("hash") != "", F.col("hash")))
-    return store.changes(last(f.where(F.col("indexed_at") < F.lit("2025-01-01").cast("timestamp_ntz"))), last(f))
+    return store.changes(f.where(F.col("indexed_at") < F.lit("2025-01-01").cast("timestamp_ntz")), f)
 
 
 @_add("delete_file_entities", "SELECT rel, src, dst FROM edges WHERE src NOT IN (SELECT id FROM ents WHERE file_path = (SELECT min(file_path) FROM fn)) AND dst NOT IN (SELECT id FROM ents WHERE file_path = (SELECT min(file_path) FROM fn))")

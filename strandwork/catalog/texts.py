@@ -180,11 +180,23 @@ def _(g: Graph) -> DataFrame:
 _LINKED = ORACLE["entity_links"].replace("SELECT doc_id AS text_id, name FROM t JOIN n USING (w)", ", m AS (SELECT DISTINCT doc_id AS session, name FROM t JOIN n USING (w))")
 
 
-@_add("co_discussed", _LINKED + ", s AS (SELECT name FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10) SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session WHERE a.name IN (SELECT name FROM s) GROUP BY 1, 2")
-def _(g: Graph) -> DataFrame:
+_CLASSES = _LINKED + ", k AS (SELECT session, list_sort(list(name))::VARCHAR AS key FROM m GROUP BY 1), c AS (SELECT session, min(session) OVER (PARTITION BY key) AS cls, count(*) OVER (PARTITION BY key) AS size FROM k)"
+
+
+def _mentions(g: Graph) -> DataFrame:
     names = g.entities("node_table", "name").where(F.col("node_table").isin("function", "class")).select("name")
     texts = g.table("documents").select(F.col("doc_id").alias("text_id"), "text")
-    return conversation.co_discussed(resolve.link_names(texts, names).select(F.col("text_id").alias("session"), "name"))
+    return resolve.link_names(texts, names).select(F.col("text_id").alias("session"), "name")
+
+
+@_add("co_discussed", _CLASSES + ", p AS (SELECT DISTINCT cls, size, name FROM c JOIN m USING (session)) SELECT a.cls AS a, b.cls AS b, count(*) AS n, a.size AS n_a, b.size AS n_b FROM p a JOIN p b ON a.name = b.name AND (a.cls < b.cls OR a.cls = b.cls AND a.size > 1) GROUP BY ALL")
+def _(g: Graph) -> DataFrame:
+    return conversation.co_discussed(_mentions(g))
+
+
+@_add("co_discussed_classes", _CLASSES + " SELECT session, cls, size FROM c")
+def _(g: Graph) -> DataFrame:
+    return conversation.discussion_classes(_mentions(g))
 
 
 @_add("notes_for_file", _K + "SELECT id, kind, title, repo AS scope, CASE confidence WHEN 'high' THEN 1 ELSE 2 END AS tier, created_at FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE confidence WHEN 'high' THEN 1 ELSE 2 END, created_at DESC NULLS LAST, id) AS r FROM k WHERE kind IN ('decision', 'problem') AND contains(lower(repo), 'atlas-core')) WHERE r <= 5")
@@ -402,9 +414,9 @@ def _(g: Graph) -> DataFrame:
     return g.spark.table(name)
 
 
-@_add("stream_incremental_index", "SELECT repo, path, max(hash) AS hash FROM source_files GROUP BY 1, 2")
+@_add("stream_incremental_index", "SELECT repo, path, hash FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY indexed_at DESC NULLS LAST, file_id DESC) AS r FROM source_files) WHERE r = 1")
 def _(g: Graph) -> DataFrame:
-    scans = streams.event_stream(g.spark, f"{g.folder}/source_files.parquet", "path string, repo string, hash string", per_batch=4)
+    scans = streams.event_stream(g.spark, f"{g.folder}/source_files.parquet", "file_id long, path string, repo string, hash string, indexed_at timestamp_ntz", per_batch=4)
     folder = _scratch(g, "index")
     streams.index_changes(scans, folder, _scratch(g, "index-check")).awaitTermination()
     return streams.latest_scans(streams.read_log(g.spark, folder))

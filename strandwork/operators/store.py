@@ -16,10 +16,13 @@ from ..plans.bind import latest
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per key, the last by ``order``; ``new`` wins ties, and columns of ``keep`` stay where the new row has none."""
+    """One row per key, the last by ``order``; ``new`` wins ties, and columns of ``keep`` stay where the new row has none.
+
+    A row of ``new`` that is older than the stored one changes nothing.
+    """
     cols = old.columns
     both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    last = latest(both, key, ["side", order], [c for c in cols if c != key])
+    last = latest(both, key, [order, "side"], [c for c in cols if c != key])
     if not keep:
         return last.select(*cols)
     held = old.groupBy(key).agg(*(F.max_by(c, order).alias(f"held_{c}") for c in keep))
@@ -49,9 +52,18 @@ def _without_ends(edges: DataFrame, dead: DataFrame) -> DataFrame:
     return edges.join(dead.select(F.col("id").alias("src")), "src", "left_anti").join(dead.select(F.col("id").alias("dst")), "dst", "left_anti").select(*edges.columns)
 
 
+def latest_hash(scans: DataFrame) -> DataFrame:
+    """(repo, path, hash) of the latest scan of each path by ``indexed_at`` and then ``file_id``, so far as the scans have them; a null time is the earliest."""
+    order = [c for c in ("indexed_at", "file_id") if c in scans.columns] or ["hash"]
+    return scans.groupBy("repo", "path").agg(F.max_by(F.struct("hash"), F.struct(*order)).alias("r")).select("repo", "path", "r.hash")
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(repo, path, change) between two scans (repo, path, hash): added, changed, deleted; equal files give no row, a null hash is changed."""
-    o, n = (x.groupBy("repo", "path").agg(F.max("hash").alias(f"{s}_hash"), F.lit(True).alias(f"{s}_there")) for x, s in ((old, "o"), (new, "n")))
+    """(repo, path, change) between two scans (repo, path, hash[, indexed_at, file_id]): added, changed, deleted; equal files give no row, a null hash is changed.
+
+    Of several scans of a path the latest holds; scans without ``indexed_at`` have one row a path.
+    """
+    o, n = (latest_hash(x).select("repo", "path", F.col("hash").alias(f"{s}_hash"), F.lit(True).alias(f"{s}_there")) for x, s in ((old, "o"), (new, "n")))
     both = o.join(n, ["repo", "path"], "full")
     change = F.when(F.col("o_there").isNull(), "added").when(F.col("n_there").isNull(), "deleted").when(~F.coalesce(F.col("o_hash") == F.col("n_hash"), F.lit(False)), "changed")
     return both.select("repo", "path", change.alias("change")).where(F.col("change").isNotNull())

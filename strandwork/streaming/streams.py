@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.activity import usable
-from ..operators.store import changes
+from ..operators.store import changes, latest_hash
 
 EVENTS = "event_id long, ts long, repo string, kind string, session_id string, detail string"
 
@@ -67,15 +67,15 @@ def latest_scans(log: DataFrame) -> DataFrame:
 
 
 def index_changes(scans: DataFrame, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Follow scans (repo, path, hash) and keep under ``folder`` a log of files that were added or changed, skipping equal ones.
+    """Follow scans (repo, path, hash[, indexed_at, file_id]) and keep under ``folder`` a log of files that were added or changed, skipping equal ones.
 
-    Within a batch the greatest hash of a file stands for it.
+    Within a batch the latest scan of a file stands for it.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         log = _state(spark, folder)
-        now = batch.groupBy("repo", "path").agg(F.max("hash").alias("hash"))
+        now = latest_hash(batch)
         if log is not None:
             known = latest_scans(log.where(F.col("batch") < number)).select(F.col("repo").alias("r"), F.col("path").alias("p"), F.col("hash").alias("h"))
             now = now.join(known, F.col("repo").eqNullSafe(F.col("r")) & (F.col("path") == F.col("p")) & (F.col("hash") == F.col("h")), "left_anti")

@@ -22,15 +22,30 @@ def pairs_of(mentions):
     return {(a, b): len(of[a] & of[b]) for a, b in combinations(sorted(of), 2) if of[a] & of[b]}
 
 
-@pytest.mark.parametrize("held", [1_000_000, 7])
-def test_a_name_in_many_sessions_links_them_all(spark, monkeypatch, held):
-    monkeypatch.setattr(conversation, "HELD", held)
+def links_of(spark, mentions, schema):
+    """The pairs of sessions that classes and links of classes stand for."""
+    df = spark.createDataFrame(mentions, schema)
+    classes = {}
+    for r in conversation.discussion_classes(df).collect():
+        classes.setdefault(r["cls"], []).append(r["session"])
+    out = {}
+    for r in conversation.co_discussed(df).collect():
+        assert (len(classes[r["a"]]), len(classes[r["b"]])) == (r["n_a"], r["n_b"])
+        for x in classes[r["a"]]:
+            for y in classes[r["b"]]:
+                if x != y:
+                    out[min(x, y), max(x, y)] = r["n"]
+    return out
+
+
+@pytest.mark.parametrize("part", [1_000, 2])
+def test_a_name_in_many_sessions_links_them_all(spark, monkeypatch, part):
+    monkeypatch.setattr(conversation, "PART", part)
     mentions = [(s, "everywhere") for s in range(14)] + [(s, f"n{s % 5}") for s in range(14)] * 2 + [(3, "alone"), (None, "everywhere"), (4, None)]
     for kind, of in (("long", lambda s: s), ("string", lambda s: None if s is None else f"s{s}")):
         own = [(of(s), n) for s, n in mentions]
-        got = conversation.co_discussed(spark.createDataFrame(own, f"session {kind}, name string"))
-        found = got.collect()
-        assert {(r["a"], r["b"]): r["n"] for r in found} == pairs_of(own) and len(found) == 14 * 13 // 2
+        found = links_of(spark, own, f"session {kind}, name string")
+        assert found == pairs_of(own) and len(found) == 14 * 13 // 2
     assert conversation.co_discussed(spark.createDataFrame([], "session long, name string")).count() == 0
 
 
@@ -39,7 +54,13 @@ def test_co_discussed_is_the_uncapped_definition(spark):
     m = catalog.ORACLE["entity_links"].replace("SELECT doc_id AS text_id, name FROM t JOIN n USING (w)", ", m AS (SELECT DISTINCT doc_id AS session, name FROM t JOIN n USING (w))")
     sql = m + " SELECT a.session AS a, b.session AS b, count(*) AS n FROM m a JOIN m b ON a.name = b.name AND a.session < b.session GROUP BY 1, 2"
     want = connect(FOLDER).execute(sql).fetchdf()
-    assert len(want) and rows(catalog.QUERIES["co_discussed"](spark, FOLDER).toPandas()) == rows(want)
+    classes = catalog.QUERIES["co_discussed_classes"](spark, FOLDER).toPandas()
+    links = catalog.QUERIES["co_discussed"](spark, FOLDER).toPandas()
+    both = links.merge(classes.rename(columns={"session": "x", "cls": "a"})[["x", "a"]], on="a").merge(classes.rename(columns={"session": "y", "cls": "b"})[["y", "b"]], on="b")
+    # a class's own pairs come both ways round, as do no others
+    both = both[(both.a != both.b) | (both.x < both.y)]
+    got = both.assign(a=both[["x", "y"]].min(axis=1), b=both[["x", "y"]].max(axis=1))[["a", "b", "n"]]
+    assert len(want) and rows(got) == rows(want)
 
 
 def test_module_of_use_is_the_whole_path(spark):
