@@ -210,9 +210,24 @@ def _(g: Graph) -> DataFrame:
     return knowledge.arc_detail(entries(g), "adr")
 
 
-@_add("vector_codes", "SELECT vec_id, (len(embedding) + 31) // 32 AS words FROM embeddings")
+_WORD = "list_sum(list_transform(list_slice(embedding, {a}, {b}), lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (32 - i)::INT ELSE 0 END))::BIGINT"
+
+
+@_add("vector_codes", f"SELECT vec_id, {_WORD.format(a=1, b=32)} AS high, {_WORD.format(a=33, b=64)} AS low FROM embeddings")
+def _(g: Graph) -> DataFrame:
+    return store.with_codes(g.table("embeddings")).select("vec_id", F.get("bits", F.lit(0)).alias("high"), F.get("bits", F.lit(1)).alias("low"))
+
+
+@_add("packed_codes", f"SELECT vec_id, {_WORD.format(a=1, b=32)} AS high, {_WORD.format(a=33, b=64)} AS low FROM embeddings")
+def _(g: Graph) -> DataFrame:
+    return g.table("embeddings").select("vec_id", vectors.packed("embedding").alias("bits")).select("vec_id", F.get("bits", F.lit(0)).alias("high"), F.get("bits", F.lit(1)).alias("low"))
+
+
+@_add("code_distance", "SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST((x[1] > 0) <> (x[2] > 0) AS INT)))::BIGINT AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(g: Graph) -> DataFrame:
-    return store.with_codes(g.table("embeddings")).select("vec_id", F.size("bits").cast("long").alias("words"))
+    v = store.with_codes(g.table("embeddings"))
+    both = v.select(F.col("vec_id").alias("a"), F.col("bits").alias("x")).join(v.select(F.col("vec_id").alias("b"), F.col("bits").alias("y")), F.col("b") == F.col("a") + 1)
+    return both.select("a", "b", vectors.hamming(F.col("x"), F.col("y")).cast("long").alias("distance"))
 
 
 def _path(prefix: str = "") -> str:
@@ -321,7 +336,7 @@ def _(g: Graph) -> DataFrame:
     return vectors.cosine_topk(v, vectors.queries_of(v))
 
 
-@_add("semantic_two_stage", _Q + _HAM + f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s), c AS (SELECT query_id, vec_id, {_COS} AS score FROM r JOIN q USING (query_id) JOIN embeddings USING (vec_id) WHERE rank <= 50) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 10")
+@_add("semantic_two_stage", _Q + _HAM + f"c AS (SELECT query_id, vec_id, {_COS} AS score FROM s JOIN q USING (query_id) JOIN embeddings USING (vec_id) WHERE distance <= 31) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 10")
 def _(g: Graph) -> DataFrame:
     v = g.table("embeddings")
     return vectors.two_stage(v, vectors.queries_of(v))

@@ -1,19 +1,21 @@
 """Vector search: binary codes, Hamming and cosine distance, two-stage top k.
 
-Codes are one string of bits packed to longs, so distances are popcounts of the JVM.
-A set of queries meets all rows as matrix products in Arrow batches, in blocks of
+Codes are one bit a dimension packed to longs; Hamming distances are popcounts of
+their exclusive or, in the JVM between two columns and in numpy between a set of
+queries and all rows.  A set of queries meets all rows in Arrow batches, in blocks of
 queries of a bounded size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def bits(v: Column) -> Column:
@@ -23,6 +25,22 @@ def bits(v: Column) -> Column:
     return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), word)).otherwise(F.array().cast("array<long>"))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _packed(v: pd.Series) -> pd.Series:
+    def one(x: np.ndarray) -> np.ndarray:
+        on = np.packbits(np.asarray(x, np.float64) > 0)
+        wide = np.zeros((-(-len(on) // 4)) * 4, np.uint8)
+        wide[: len(on)] = on
+        return wide.view(">u4").astype(np.int64)
+
+    return v.map(one, na_action="ignore")
+
+
+def packed(v: str | Column) -> Column:
+    """What ``bits`` gives, made in batches: faster where many vectors are coded."""
+    return _packed(v)
+
+
 def bit_string(v: Column) -> Column:
     """The bits as text, for display and tests."""
     return F.array_join(F.transform(v, lambda x: F.when(x > 0, "1").otherwise("0")), "")
@@ -68,37 +86,77 @@ def _values(m: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return -np.round(np.where(norm < 1e-10, 0.0, (q @ m.T) / np.where(norm < 1e-10, 1.0, norm)), 6)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+def _codes(b: pa.RecordBatch, words: int) -> np.ndarray:
+    """The codes of a batch as rows of unsigned words."""
+    out = np.zeros((b.num_rows, words), np.uint64)
+    for k, v in enumerate(b.column("bits").to_pylist()):
+        out[k, : min(len(v), words)] = v[:words]
+    return out
+
+
+def _distances(codes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which each query (row) and each code (column) differ."""
+    out = np.zeros((len(q), len(codes)), np.int64)
+    for w in range(q.shape[1]):
+        out += np.bitwise_count(q[:, w][:, None] ^ codes[:, w][None, :])
+    return out
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray | None, codes: np.ndarray | None, k: int, metric: str, bound: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The k nearest of a task's rows to each query; those of earlier batches are kept beside each batch.
+
+    With codes and a metric of full vectors, only rows whose code is within ``bound`` bits are compared in full.
+    """
+    best_v, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
     for b in batches:
         own = b.column("vec_id").to_numpy(zero_copy_only=False)
-        d = _values(_matrix(b.column("embedding").to_pylist(), q.shape[1]), q, metric)
+        if codes is not None and metric == "hamming":
+            d = _distances(_codes(b, codes.shape[1]), codes).astype(np.float64)
+        else:
+            d = _values(_matrix(b.column("embedding").to_pylist(), q.shape[1]), q, metric)
+            if codes is not None:
+                d[_distances(_codes(b, codes.shape[1]), codes) > bound] = np.inf
         d[ids[:, None] == own[None, :]] = np.inf
-        out: list[tuple[np.ndarray, ...]] = []
-        for row, one in zip(ids, d, strict=True):
-            near = np.lexsort((own, one))[:k]
-            near = near[np.isfinite(one[near])]
-            out.append((np.full(len(near), row), own[near], one[near]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "d"])
+        v = np.concatenate([best_v, np.broadcast_to(own, d.shape)], 1)
+        d = np.concatenate([best_d, d], 1)
+        near = np.lexsort((v, d), 1)[:, :k]
+        best_v, best_d = np.take_along_axis(v, near, 1), np.take_along_axis(d, near, 1)
+    ok = np.isfinite(best_d)
+    rows = np.broadcast_to(ids[:, None], best_v.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[ok].astype(np.int64)), pa.array(best_v[ok].astype(np.int64)), pa.array(best_d[ok].astype(np.float64))], names=["query_id", "vec_id", "d"])
 
 
-def _topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+def _topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str, bits: float | None = None) -> DataFrame:
     """(query_id, vec_id, d, rank): the k nearest of all rows to each query, itself left out, ties by id.
 
-    A pass over the rows holds a block of queries; a batch of rows gives at most k rows a
-    query, and only those are shuffled and ranked.
+    A pass over the rows holds a block of queries; a task gives at most k rows a query, and
+    only those are shuffled and ranked.  Codes (``bits``) are read where the frame has them
+    and made of the vectors where not; with ``bits`` a part of the dimensions, rows whose code
+    differs in more of them than that are no candidates.
     """
     spark = vectors.sparkSession
-    v = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    q = queries.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    coded = metric == "hamming" or bits is not None
+    full = metric != "hamming"
+    cols = [*(["embedding"] if full else []), *(["bits"] if coded else [])]
+
+    def usable(df: DataFrame) -> DataFrame:
+        df = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+        code = (F.col("bits") if "bits" in df.columns else packed("embedding")).alias("bits") if coded else None
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), *(["embedding"] if full else []), *([code] if coded else []), F.size("embedding").alias("dims"))
+
+    v, q = usable(vectors).select("vec_id", *cols), usable(queries)
     blocks = max(1, -(-q.count() // BLOCK))
     out = None
     for n in range(blocks):
         rows = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect() if blocks > 1 else q.collect()
         if not rows:
             continue
-        held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), _matrix([r["embedding"] for r in rows], max(len(r["embedding"]) for r in rows))))
-        near = v.mapInArrow(lambda b, h=held: _nearest(b, *h.value, k, metric), "query_id long, vec_id long, d double")
+        dims = max(r["dims"] for r in rows)
+        m = _matrix([r["embedding"] for r in rows], dims) if full else None
+        words = max(len(r["bits"]) for r in rows) if coded else 0
+        c = np.array([r["bits"] + [0] * (words - len(r["bits"])) for r in rows], np.uint64).reshape(len(rows), words) if coded else None
+        held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), m, c, k, metric, int(bits * dims) if bits is not None else None))
+        near = v.mapInArrow(lambda b, h=held: _nearest(b, *h.value), "query_id long, vec_id long, d double")
         out = near if out is None else out.unionByName(near)
     if out is None:
         out = v.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("d")).limit(0)
@@ -116,22 +174,18 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return _topk(vectors, queries, k, "cosine").select("query_id", "vec_id", (-F.col("d")).alias("score"), "rank")
 
 
-#: Share of the rows that become candidates: codes of 64 bits reach a recall of 0.9 with it.
-CANDIDATES = 0.4
+#: Part of the dimensions in which the codes of candidates may differ: with it codes of 64 bits reach a recall of 0.9.
+NEAR = 0.485
 
 
-def two_stage(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float | None = CANDIDATES) -> DataFrame:
-    """(query_id, vec_id, score, rank): candidates by Hamming, ranked by cosine; full vectors are read for candidates only.
+def two_stage(vectors: DataFrame, queries: DataFrame, k: int = 10, near: float = NEAR) -> DataFrame:
+    """(query_id, vec_id, score, rank): rows whose code is near the query's are candidates, and these are ranked by cosine.
 
-    Candidates are ``share`` of the rows and at least max(5k, 50), or just those where ``share`` is None.
+    Nearness is a bound on the bits that differ (``near`` of the dimensions), so candidates are
+    chosen where their row is read: no list of them is counted, shuffled or joined, and a query
+    loses none to the number of rows.
     """
-    n = math.ceil(share * vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).count()) if share is not None else 0
-    near = hamming_topk(vectors, queries, max(5 * k, 50, n)).select("query_id", "vec_id")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(q, "query_id")
-    scored = both.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return _topk(vectors, queries, k, "cosine", near).select("query_id", "vec_id", (-F.col("d")).alias("score"), "rank")
 
 
 def stats(vectors: DataFrame) -> DataFrame:
