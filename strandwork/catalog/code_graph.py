@@ -14,6 +14,7 @@ from ..functions import ids
 from ..operators import ask, census, graph, resolve, search, store
 from ..plans.bind import Graph, size_of
 from ..sources import code
+from ..sources.parsers import EXTENSIONS, LARGEST, skip_pattern
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,10 @@ top_id AS (SELECT dst AS id FROM calls JOIN fn ON fn.id = dst GROUP BY dst ORDER
 """
 
 
+#: The module of an import's body b.
+_MODULE = "CASE WHEN regexp_matches(b, '^from\\s+[\\w.]+\\s+import\\b') THEN replace(regexp_extract(b, '^from\\s+([\\w.]+)\\s+import\\b', 1), '.', '/') WHEN regexp_matches(b, '\\bfrom\\s+[''\"][^''\"]+[''\"]') THEN regexp_replace(regexp_extract(b, '\\bfrom\\s+[''\"]([^''\"]+)[''\"]', 1), '^(\\.{1,2}/)+', '') WHEN regexp_matches(b, '^(pub\\s+)?use\\s+[^;\\s]+') THEN replace(regexp_extract(b, '^(?:pub\\s+)?use\\s+([^;\\s]+)', 1), '::', '/') ELSE '' END"
+
+
 def _add(name: str, sql: str | None, ctes: str = "") -> Callable:
     def take(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
         QUERIES[name] = lambda spark, d: f(Graph(spark, d))
@@ -59,7 +64,7 @@ _SIZED = ("name", "file_path", "start_line", "end_line")
 
 @_add("find_function_exact", f"SELECT id, {_SYMBOL} FROM fn WHERE name = 'parse_path'")
 def _(g: Graph) -> DataFrame:
-    return search.find_function(g.functions(*search.SYMBOL), "parse_path")
+    return search.find_function(g.ever(F.col("name") == "parse_path", *search.SYMBOL, tables=("function",)), "parse_path")
 
 
 @_add("search_functions_ci", f"SELECT id, {_SYMBOL} FROM fn WHERE contains(lower(name), 'parse')")
@@ -91,7 +96,7 @@ def _(g: Graph) -> DataFrame:
 
 @_add("api_changelog", "SELECT node_table, id, name, file_path, start_line, greatest(end_line - start_line, 0) AS size FROM ents WHERE node_table IN ('function', 'class') AND repo = 'atlas-core'")
 def _(g: Graph) -> DataFrame:
-    return search.api_changelog(g.entities("node_table", "repo", *_SIZED), "atlas-core")
+    return search.api_changelog(g.entities("node_table", "repo", *_SIZED, tables=("function", "class")), "atlas-core")
 
 
 @_add("largest_functions", "SELECT id, name, file_path, greatest(end_line - start_line, 0) AS size FROM fn ORDER BY size DESC NULLS LAST, id LIMIT 15")
@@ -101,12 +106,12 @@ def _(g: Graph) -> DataFrame:
 
 @_add("list_all_classes", "SELECT id, name, file_path FROM ents WHERE node_table = 'class' ORDER BY name, id LIMIT 50")
 def _(g: Graph) -> DataFrame:
-    return search.list_all(g.entities("node_table", *_F), "class")
+    return search.list_all(g.entities("node_table", *_F, tables=("class",)), "class")
 
 
 @_add("imports_list", "SELECT id, name, file_path, body FROM ents WHERE node_table = 'import_decl'")
 def _(g: Graph) -> DataFrame:
-    return search.imports_of(g.entities("node_table", "name", "file_path", "body"), None)
+    return search.imports_of(g.entities("node_table", "name", "file_path", "body", tables=("import_decl",)), None)
 
 
 @_add(
@@ -133,10 +138,11 @@ def _(g: Graph) -> DataFrame:
     return search.repos(g.entities("repo"))
 
 
-@_add("supported_languages", None)
-def _(g: Graph) -> DataFrame:
-    from ..sources.parsers import EXTENSIONS
+_SUPPORTED = ", ".join(f"('{e}', '{lang}')" for e, lang in sorted(EXTENSIONS.items()))
+
 
+@_add("supported_languages", f"SELECT * FROM (VALUES {_SUPPORTED}) t(extension, language)")
+def _(g: Graph) -> DataFrame:
     return g.spark.createDataFrame(sorted(EXTENSIONS.items()), "extension string, language string")
 
 
@@ -210,7 +216,7 @@ def _(g: Graph) -> DataFrame:
     "defs AS (SELECT name, count(*) AS definitions, coalesce(sum(c), 0)::BIGINT AS callers FROM fn LEFT JOIN (SELECT dst, count(*) AS c FROM ucalls GROUP BY 1) x ON x.dst = fn.id WHERE name IS NOT NULL GROUP BY 1), imp AS (SELECT name, count(*) AS importers FROM (SELECT id, unnest(list_distinct(regexp_split_to_array(body, '[^A-Za-z0-9_]+'))) AS name FROM ents WHERE node_table = 'import_decl') GROUP BY 1)",
 )
 def _(g: Graph) -> DataFrame:
-    return graph.safe_delete(g.entities("node_table", "name", "body"), g.calls)
+    return graph.safe_delete(g.entities("node_table", "name", "body", tables=("function", "import_decl")), g.calls)
 
 
 _HOPS = "h1 AS (SELECT DISTINCT src AS id FROM ucalls WHERE dst IN (SELECT id FROM top_id)), h2 AS (SELECT DISTINCT src AS id FROM ucalls WHERE dst IN (SELECT id FROM h1)), h3 AS (SELECT DISTINCT src AS id FROM ucalls WHERE dst IN (SELECT id FROM h2))"
@@ -280,7 +286,7 @@ def _(g: Graph) -> DataFrame:
     "root AS (SELECT id, name, body FROM ents WHERE node_table = 'skill' AND contains(lower(name), 'a') ORDER BY id LIMIT 1)",
 )
 def _(g: Graph) -> DataFrame:
-    return graph.traverse_skills(g.entities("node_table", "name", "body"), g.edges, "a")
+    return graph.traverse_skills(g.entities("node_table", "name", "body", tables=("skill",)), g.edges, "a")
 
 
 @_add("graph_stats", "SELECT node_table, count(*) AS n FROM ents GROUP BY 1")
@@ -295,12 +301,12 @@ def _(g: Graph) -> DataFrame:
 
 @_add("fan_in_top", "SELECT dst AS id, count(*) AS n, name, file_path FROM calls JOIN fn ON fn.id = dst GROUP BY ALL ORDER BY n DESC, dst LIMIT 10")
 def _(g: Graph) -> DataFrame:
-    return census.fan(g.functions(*_F), g.calls)
+    return census.fan(g.functions(*_F), g.calls, among=lambda ids: g.listed(ids, *_F))
 
 
 @_add("fan_out_top", "SELECT src AS id, count(*) AS n, name, file_path FROM calls JOIN fn ON fn.id = src GROUP BY ALL ORDER BY n DESC, src LIMIT 10")
 def _(g: Graph) -> DataFrame:
-    return census.fan(g.functions(*_F), g.calls, "src")
+    return census.fan(g.functions(*_F), g.calls, "src", among=lambda ids: g.listed(ids, *_F))
 
 
 @_add("dense_files", "SELECT repo, file_path, count(*) AS n_functions FROM fn GROUP BY ALL ORDER BY n_functions DESC, repo, file_path LIMIT 30")
@@ -334,6 +340,20 @@ def _(g: Graph) -> DataFrame:
     return census.duplicates(g.functions("name", "body_hash"), None)
 
 
+@_add("duplicate_files", "SELECT sha256(content) AS body_hash, count(*) AS n, count(DISTINCT path) AS n_names, min(file_id) AS first_id FROM source_files WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def _(g: Graph) -> DataFrame:
+    return census.duplicates(_as_bodies(g), None)
+
+
+def _as_bodies(g: Graph) -> DataFrame:
+    return g.table("source_files").select(F.col("file_id").alias("id"), F.col("path").alias("name"), F.col("repo").alias("file_path"), F.sha2("content", 256).alias("body_hash"))
+
+
+@_add("duplicate_members", "SELECT sha256(content) AS body_hash, file_id AS id, path AS name, repo AS file_path FROM source_files WHERE sha256(content) IN (SELECT sha256(content) FROM source_files GROUP BY 1 HAVING count(*) > 1)")
+def _(g: Graph) -> DataFrame:
+    return census.duplicate_members(_as_bodies(g))
+
+
 _UNUSED = ", ".join(f"'{n}'" for n in census.UNUSED_NAMES)
 
 
@@ -387,7 +407,7 @@ def _(g: Graph) -> DataFrame:
 
 @_add("import_styles", "SELECT CASE WHEN contains(trim(body), 'from ') THEN 'from' WHEN contains(body, 'require(') THEN 'require' WHEN starts_with(trim(body), 'use ') THEN 'use' WHEN contains(body, 'import') THEN 'import' ELSE 'other' END AS style, count(*) AS n FROM ents WHERE node_table = 'import_decl' AND body IS NOT NULL GROUP BY 1")
 def _(g: Graph) -> DataFrame:
-    return census.import_styles(g.entities("node_table", "body"))
+    return census.import_styles(g.entities("node_table", "body", tables=("import_decl",)))
 
 
 @_add(
@@ -440,7 +460,7 @@ def _(g: Graph) -> DataFrame:
 @_add("http_endpoint_link", "SELECT DISTINCT c.id AS call_id, a.id AS endpoint_id FROM (SELECT src AS id, lower(method || ' ' || url_pattern) AS key FROM edges WHERE rel = 'calls_endpoint') c JOIN (SELECT id, lower(name) AS key FROM ents WHERE node_table = 'api') a USING (key)")
 def _(g: Graph) -> DataFrame:
     calls = g.rel("calls_endpoint").select(F.col("src").alias("id"), F.concat("method", F.lit(" "), "url_pattern").alias("name"))
-    return resolve.link_endpoints(calls, g.entities("node_table", "name").where(F.col("node_table") == "api").select("id", "name"))
+    return resolve.link_endpoints(calls, g.entities("name", tables=("api",)))
 
 
 @_add(
@@ -452,12 +472,16 @@ def _(g: Graph) -> DataFrame:
     return resolve.virtual_dispatch(g.functions("name", "qualified_name", "signature", "body"))
 
 
-@_add("cross_repo_links", None)
+@_add(
+    "cross_repo_links",
+    "SELECT import_id, repo, path FROM (SELECT i.import_id, f.repo, f.path, row_number() OVER (PARTITION BY i.import_id ORDER BY f.repo, f.path) AS r FROM i JOIN f ON f.repo <> i.from_repo AND contains(f.path, i.module)) WHERE r <= 5",
+    f"i AS (SELECT * FROM (SELECT import_id, from_repo, {_MODULE} AS module FROM (SELECT id AS import_id, repo AS from_repo, trim(body) AS b FROM ents WHERE node_table = 'import_decl' AND body IS NOT NULL)) WHERE module <> ''), f AS (SELECT DISTINCT repo, path FROM source_files WHERE path IS NOT NULL)",
+)
 def _(g: Graph) -> DataFrame:
-    return resolve.link_repos(g.entities("node_table", "repo", "body"), g.table("source_files"))
+    return resolve.link_repos(g.entities("node_table", "repo", "body", tables=("import_decl",)), g.table("source_files"))
 
 
-@_add("skipped_files", None)
+@_add("skipped_files", f"SELECT file_id, regexp_matches(path, '{skip_pattern()}') OR octet_length(encode(content)) > {LARGEST} AS skipped FROM source_files")
 def _(g: Graph) -> DataFrame:
     return g.table("source_files").select("file_id", code.skipped(F.col("path"), F.col("content")).alias("skipped"))
 
@@ -485,9 +509,9 @@ def _(g: Graph) -> DataFrame:
     return g.entities("qualified_name").select("id", ids.sanitize_id(F.col("qualified_name")).alias("key"))
 
 
-@_add("import_modules", None)
+@_add("import_modules", f"SELECT id, {_MODULE} AS module FROM (SELECT id, trim(body) AS b FROM ents WHERE node_table = 'import_decl')")
 def _(g: Graph) -> DataFrame:
-    return g.entities("node_table", "body").where(F.col("node_table") == "import_decl").select("id", ids.module_of_import(F.col("body")).alias("module"))
+    return g.entities("body", tables=("import_decl",)).select("id", ids.module_of_import(F.col("body")).alias("module"))
 
 
 @_add("upsert_last_wins", "SELECT id, name, body_hash, start_line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, row_id DESC) AS r FROM code_entities) WHERE r = 1")
@@ -520,7 +544,8 @@ def _(g: Graph) -> DataFrame:
     return store.without_repo(g.entities("repo", "node_table"), g.edges.select("src", "dst"), "atlas-core")[0].select("id", "repo")
 
 
-@_add("obsidian_notes", None)
+@_add("obsidian_notes", "SELECT name || '.md' AS file, '# ' || name || chr(10) || chr(10) || file_path || chr(10) || chr(10) || '## Calls' || chr(10) || coalesce(links, 'none') || chr(10) AS text FROM top LEFT JOIN l USING (id) UNION ALL SELECT 'index.md', '# Index' || chr(10) || chr(10) || array_to_string(list_sort(list(DISTINCT '- [[' || name || ']]')), chr(10)) || chr(10) FROM top",
+    "top AS (SELECT fn.id, name, file_path FROM (SELECT id, count(*) AS n FROM (SELECT src AS id FROM ucalls UNION ALL SELECT dst FROM ucalls) GROUP BY 1) d JOIN fn USING (id) ORDER BY n DESC, fn.id LIMIT 50), l AS (SELECT c.src AS id, array_to_string(list_sort(list(DISTINCT '- [[' || d.name || ']]')), chr(10)) AS links FROM ucalls c JOIN top s ON s.id = c.src JOIN top d ON d.id = c.dst GROUP BY 1)")
 def _(g: Graph) -> DataFrame:
     return store.notes(g.functions(*_F), g.calls)
 

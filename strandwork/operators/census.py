@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,27 @@ def degrees(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return functions.select("id").join(i, "id", "left").join(o, "id", "left").select("id", F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"))
 
 
-def fan(functions: DataFrame, calls: DataFrame, end: str = "dst", k: int = 10) -> DataFrame:
-    """The k functions with the most calls in (end 'dst') or out ('src')."""
+def fan(functions: DataFrame, calls: DataFrame, end: str = "dst", k: int = 10, among: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """The k functions with the most calls in (end 'dst') or out ('src').
+
+    ``among`` gives the functions of some ids: the ``SPARE`` x k most called ids are looked up
+    first, and all functions are joined only if fewer than k of them are functions.
+    """
     n = calls.groupBy(F.col(end).alias("id")).agg(_n().alias("n"))
+    if among is not None:
+        top = n.orderBy(F.desc("n"), "id").limit(SPARE * k).collect()
+        found = among([r["id"] for r in top]).select("id", "name", "file_path").collect() if top else []
+        if len(found) >= k or len(top) < SPARE * k:
+            count = {r["id"]: r["n"] for r in top}
+            rows = sorted(((r["id"], count[r["id"]], r["name"], r["file_path"]) for r in found), key=lambda r: (-r[1], r[0]))[:k]
+            return calls.sparkSession.createDataFrame(rows, "id string, n long, name string, file_path string")
     return n.join(functions.select("id", "name", "file_path"), "id").orderBy(F.desc("n"), "id").limit(k)
 
 
+#: Ids that ``fan`` looks up for each one that is asked for.
+SPARE = 4
+
+
 def dense_files(functions: DataFrame, k: int = 30) -> DataFrame:
     return functions.groupBy("repo", "file_path").agg(_n().alias("n_functions")).orderBy(F.desc("n_functions"), "repo", "file_path").limit(k)
 
@@ -63,11 +80,17 @@ def central(functions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def duplicates(functions: DataFrame, k: int | None = 20) -> DataFrame:
-    """(body_hash, n, n_names, first_id): bodies that several functions share."""
+    """(body_hash, n, n_names, first_id): bodies that several functions share; ``duplicate_members`` lists who."""
     g = functions.where(F.col("body_hash").isNotNull()).groupBy("body_hash").agg(_n().alias("n"), F.countDistinct("name").alias("n_names"), F.min("id").alias("first_id")).where(F.col("n") > 1)
     return g.orderBy(F.desc("n"), "body_hash").limit(k) if k is not None else g
 
 
+def duplicate_members(functions: DataFrame) -> DataFrame:
+    """(body_hash, id, name, file_path): the functions whose body others share, a row each, so a body of very many is no list."""
+    f = functions.where(F.col("body_hash").isNotNull())
+    return f.join(duplicates(f, None).select("body_hash"), "body_hash", "left_semi").select("body_hash", "id", "name", "file_path")
+
+
 def unused_symbols(functions: DataFrame, calls: DataFrame, min_lines: int = 1) -> DataFrame:
     """Functions whose name nothing calls, without entry points; keyed by name within a repo."""
     f = functions.where(F.col("name").isNotNull())

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cut import broadcast_if_small
 from .load import table
 
 ENTITY = ("id", "node_table", "kind", "name", "qualified_name", "file_path", "repo", "start_line", "end_line", "signature", "body", "body_hash", "language", "cuda_qualifier")
@@ -32,13 +33,31 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
-    def entities(self, *cols: str) -> DataFrame:
-        """Latest live versions with ``cols`` (all by default)."""
+    def entities(self, *cols: str, tables: tuple[str, ...] = ()) -> DataFrame:
+        """Latest live versions with ``cols`` (all by default), of ``tables`` where given: an id names its table, so the scan is filtered before versions meet."""
         want = list(dict.fromkeys(("id", *(cols or ENTITY))))
         raw = self.table("code_entities").withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+        raw = raw.where(F.col("node_table").isin(*tables)) if tables else raw
         live = latest(raw, "id", ["indexed_at", "row_id"], [*(c for c in want if c != "id"), "is_deleted"])
         return live.where(~F.col("is_deleted")).select(*want)
 
+    def listed(self, ids: list[str], *cols: str) -> DataFrame:
+        """The functions among a few ids, which are filters of the scan."""
+        want = list(dict.fromkeys(("id", *cols)))
+        raw = self.table("code_entities").where(F.col("id").isin(*ids) & (F.col("node_table") == "function")).withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+        live = latest(raw, "id", ["indexed_at", "row_id"], [*(c for c in want if c != "id"), "is_deleted"])
+        return live.where(~F.col("is_deleted")).select(*want)
+
+    def ever(self, where: Column, *cols: str, tables: tuple[str, ...] = ()) -> DataFrame:
+        """``entities`` that meet ``where``: only ids with a version that meets it are brought to their latest version, so few rows are aggregated for a rare condition."""
+        want = list(dict.fromkeys(("id", *(cols or ENTITY))))
+        raw = self.table("code_entities").withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+        raw = raw.where(F.col("node_table").isin(*tables)) if tables else raw
+        ids = raw.where(where).select(F.col("id").alias("known")).distinct()
+        some = raw.join(broadcast_if_small(ids, 160, rows=20_000), F.col("id") == F.col("known"), "left_semi")
+        live = latest(some, "id", ["indexed_at", "row_id"], [*(c for c in want if c != "id"), "is_deleted"])
+        return live.where(~F.col("is_deleted")).select(*want).where(where)
+
     def functions(self, *cols: str) -> DataFrame:
         return self._of("function", cols)
 
@@ -46,8 +65,7 @@ class Graph:
         return self._of("class", cols)
 
     def _of(self, node_table: str, cols: tuple[str, ...]) -> DataFrame:
-        want = cols or ENTITY
-        return self.entities(*dict.fromkeys((*want, "node_table"))).where(F.col("node_table") == node_table).select(*dict.fromkeys(("id", *want)))
+        return self.entities(*(cols or ENTITY), tables=(node_table,))
 
     @cached_property
     def edges(self) -> DataFrame:
