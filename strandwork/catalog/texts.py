@@ -118,12 +118,23 @@ def _(g: Graph) -> DataFrame:
     return knowledge.suggest_tags(e)
 
 
-@_add("edge_proposals")
+@_add(
+    "edge_proposals",
+    _BAG.replace("SELECT id, kind, tags,", "SELECT id, kind, repo,", 1) + ", w AS (SELECT id, repo, kind, len(bag) AS n, unnest(bag) AS w FROM bag), o AS (SELECT a.id AS a, b.id AS b, a.kind AS x, b.kind AS y, a.n AS na, b.n AS nb, count(*) AS i FROM w a JOIN w b ON a.w = b.w AND a.repo = b.repo AND a.id <> b.id GROUP BY ALL), p AS (SELECT *, i / (na + nb - i) AS score FROM o), dup AS (SELECT DISTINCT a AS id FROM p WHERE score >= 0.7 AND b < a), "
+    "r AS (SELECT a AS from_id, b AS to_id, round(score, 6) AS score, CASE WHEN x = 'solution' AND y = 'problem' THEN 'solves_for' WHEN x = 'decision' AND y IN ('problem', 'claim') THEN 'decided_about' WHEN (x = 'problem' AND y IN ('solution', 'decision')) OR (x = 'claim' AND y = 'decision') THEN NULL WHEN coalesce(x, '') = coalesce(y, '') THEN NULL WHEN score >= 0.4 THEN 'related_to' END AS relation FROM p WHERE score >= 0.3 AND a NOT IN (SELECT id FROM dup) AND b NOT IN (SELECT id FROM dup)) SELECT from_id, to_id, relation, score FROM r WHERE relation IS NOT NULL",
+)
 def _(g: Graph) -> DataFrame:
     return knowledge.proposals(entries(g))
 
 
-@_add("arc_narration")
+_SAY = "CASE WHEN kind = 'problem' THEN 'a problem appears' WHEN kind = 'solution' THEN 'a solution lands' WHEN kind = 'decision' THEN 'a decision is made' WHEN kind = 'claim' THEN 'a claim is made' ELSE coalesce(kind, 'a note is taken') END"
+_FIRST = "regexp_extract(regexp_replace(coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|[-*+] |>|```|\\|)'))[1], ''), '[*_`]|\\[\\[|\\]\\]', '', 'g'), '^(.*?[.!?])(\\s|$)|^(.*)$', 0)"
+
+
+@_add(
+    "arc_narration",
+    _K + f", a AS (SELECT k.id, k.title, k.content, k.kind, k.created_at, row_number() OVER (ORDER BY k.created_at NULLS FIRST, k.id) AS scene, {_SAY.replace('kind', 'k.kind')} AS say FROM topical t JOIN k USING (id) WHERE tag = 'postmortem') SELECT id, scene::INT AS scene, CASE WHEN scene = 1 THEN 'On ' || strftime(created_at, '%Y-%m-%d') || ' the story begins. ' || upper(say[1]) || substr(say, 2) ELSE 'Then, on ' || strftime(created_at, '%Y-%m-%d') || ', ' || say END || ': “' || title || '”. ' || {_FIRST} AS line FROM a",
+)
 def _(g: Graph) -> DataFrame:
     e = entries(g)
     return knowledge.narration(knowledge.topical(e, "id", "title", "content", "kind", "created_at").where(F.col("tag") == "postmortem"))
@@ -141,7 +152,7 @@ def _(g: Graph) -> DataFrame:
     return store.context_summary(entries(g))
 
 
-@_add("web_search")
+@_add("web_search", _K + ", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, row_id DESC) AS r FROM code_entities) WHERE r = 1 AND NOT coalesce(is_deleted, false) AND node_table = 'function') SELECT type, id, name FROM (SELECT 'function' AS type, id, name FROM f WHERE contains(lower(name), 'watch') UNION ALL SELECT 'knowledge', id::VARCHAR, title FROM k WHERE contains(title, 'watch') OR contains(content, 'watch')) ORDER BY type, id LIMIT 20")
 def _(g: Graph) -> DataFrame:
     return search.web_search(g.functions("name"), entries(g), "watch", 20)
 
@@ -205,7 +216,7 @@ def _(g: Graph) -> DataFrame:
     return knowledge.for_file(e, "atlas-core/main.rs")
 
 
-@_add("arc_detail")
+@_add("arc_detail", _PAIRS.replace("FROM k)", "FROM k WHERE list_contains(tags, 'adr'))", 1) + ", d AS (SELECT a, min(b) FILTER (b < a) AS duplicate_of FROM p WHERE score >= 0.7 GROUP BY 1) SELECT k.id, title, k.kind, created_at, duplicate_of FROM k LEFT JOIN d ON d.a = k.id WHERE list_contains(tags, 'adr')")
 def _(g: Graph) -> DataFrame:
     return knowledge.arc_detail(entries(g), "adr")
 
@@ -384,7 +395,17 @@ def _(g: Graph) -> DataFrame:
     return activity.gain(g.table("insight_events").select(F.col("kind").alias("tool")))
 
 
-@_add("conversation_scores")
+_TURNS = "t AS (SELECT doc_id AS conv_id, i - 1 AS line, x[i] AS turn FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n(user|assistant): ', chr(1) || '\\1: ', 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) u(i)), turns AS (SELECT conv_id, line, regexp_extract(turn, '^(user|assistant): ', 1) AS role, lower(regexp_replace(turn, '^(?:user|assistant): ', '')) AS low FROM t WHERE regexp_matches(turn, '^(user|assistant): '))"
+
+
+def _score(signals: tuple[tuple[str, float], ...]) -> str:
+    """The SQL of ``conversation.score`` over the text ``low``."""
+    listed = ", ".join("{'p': '%s', 'w': %s}" % (p.replace("'", "''"), w) for p, w in signals)
+    hits = f"list_filter([{listed}], lambda s: contains(low, s.p))"
+    return f"round(least(coalesce(list_max(list_transform({hits}, lambda s: s.w::DOUBLE)), 0.0) + least(len({hits}) * 0.05, 0.2), 1.0), 4)::DOUBLE"
+
+
+@_add("conversation_scores", f"WITH {_TURNS} SELECT conv_id, line::INT AS line, role, {_score(conversation.PROBLEM)} AS problem, {_score(conversation.SOLUTION)} AS solution, {_score(conversation.DECISION)} AS decision FROM turns")
 def _(g: Graph) -> DataFrame:
     return conversation.scores(conversation.turns_of(g.table("documents")))
 
@@ -411,7 +432,7 @@ def _(g: Graph) -> DataFrame:
     return store.delta(two.select("key", F.col("o").alias("text")), two.select("key", F.col("n").alias("text")))
 
 
-@_add("short_log_output")
+@_add("short_log_output", "WITH l AS (SELECT doc, i - 1 AS n, x[i] AS line, len(x) AS size FROM (SELECT item_id AS doc, regexp_split_to_array(body, '\r?\n') AS x FROM indexed_content WHERE kind = 'log' AND body IS NOT NULL), unnest(range(1, len(x) + 1)) t(i)) SELECT doc, n::INT AS n, line FROM l WHERE size <= 46 OR n < 30 OR n >= size - 15 UNION ALL SELECT DISTINCT doc, 30, '... ' || (size - 45) || ' lines ...' FROM l WHERE size > 46")
 def _(g: Graph) -> DataFrame:
     lines = g.table("indexed_content").where(F.col("kind") == "log").select(F.col("item_id").alias("doc"), F.posexplode(F.split("body", "\r?\n")).alias("n", "line"))
     return ask.head_tail(lines)
@@ -435,3 +456,29 @@ def _(g: Graph) -> DataFrame:
     folder = _scratch(g, "index")
     streams.index_changes(scans, folder, _scratch(g, "index-check")).awaitTermination()
     return streams.latest_scans(streams.read_log(g.spark, folder))
+
+
+def _texts(g: Graph) -> DataFrame:
+    return streams.event_stream(g.spark, f"{g.folder}/documents.parquet", "doc_id long, text string")
+
+
+@_add("stream_notification", "SELECT 'knowledge changed' AS title, count(*) AS n, 0 AS batch FROM documents")
+def _(g: Graph) -> DataFrame:
+    folder = _scratch(g, "notice")
+    streams.notify(_texts(g), folder, _scratch(g, "notice-check")).awaitTermination()
+    return g.spark.read.parquet(folder)
+
+
+@_add("stream_known_texts", "SELECT sha256(text) AS hash, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    folder = _scratch(g, "texts")
+    streams.index_texts(_texts(g), folder, _scratch(g, "texts-check"), None).awaitTermination()
+    return streams.read_log(g.spark, folder).select("hash", "doc_id")
+
+
+@_add("stream_progress", "SELECT 1 AS batches, count(*) AS n FROM documents")
+def _(g: Graph) -> DataFrame:
+    q = streams.index_texts(_texts(g), _scratch(g, "texts"), _scratch(g, "texts-check"), None)
+    q.awaitTermination()
+    batches, n = streams.progress(q)
+    return g.spark.createDataFrame([(batches, n)], "batches int, n long")

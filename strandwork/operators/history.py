@@ -73,12 +73,15 @@ def evolution(commits: DataFrame, changes: DataFrame, part: str) -> DataFrame:
 
 
 def match_files(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """(commit, file_id): each changed path with the first stored file, by id, whose path ends in it at a segment; sides meet on the file's name."""
-    base = F.element_at(F.split("path", "/"), -1)
-    c = changes.select("commit", "path").distinct().withColumn("base", base)
-    f = files.where(F.col("path").isNotNull()).groupBy("path").agg(F.min("file_id").alias("file_id")).select("file_id", F.col("path").alias("file_path"), base.alias("base"))
-    hit = c.join(f, "base").where((F.col("file_path") == F.col("path")) | F.col("file_path").endswith(F.concat(F.lit("/"), F.col("path"))))
-    return hit.groupBy("commit", "path").agg(F.min("file_id").alias("file_id")).select("commit", "file_id")
+    """(commit, file_id): each changed path with the first stored file, by id, whose path ends in it at a segment.
+
+    A stored path offers each of its ends, so the sides meet on equal texts, and a name that very many files have is one row an end.
+    """
+    c = changes.where(F.col("path").isNotNull()).select("commit", "path").distinct()
+    parts = F.split("path", "/")
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
+    f = files.where(F.col("path").isNotNull()).select("file_id", ends.alias("path")).groupBy("path").agg(F.min("file_id").alias("file_id"))
+    return c.join(f, "path").select("commit", "file_id")
 
 
 def overlaps(hunks: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
@@ -95,6 +98,14 @@ def overlaps(hunks: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame
     return both.where(F.floor(F.greatest("first", "start_line") / width) == F.col("bin")).select("hunk", "id")
 
 
+def callers_of_changed(changed: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(repo, path, id, caller, tested): who calls the functions of changed files (repo, path), and whether the caller is a test by its path."""
+    f = functions.select("id", "repo", "file_path")
+    own = f.join(changed.select("repo", F.col("path").alias("file_path")).distinct(), ["repo", "file_path"], "left_semi").select(F.col("id").alias("dst"), "repo", F.col("file_path").alias("path"))
+    far = f.select(F.col("id").alias("src"), F.col("file_path").rlike(r"(^|[/_.])(tests?|spec)([/_.]|$)").alias("tested"))
+    return calls.select("src", "dst").distinct().join(own, "dst").join(far, "src").select("repo", "path", F.col("dst").alias("id"), F.col("src").alias("caller"), "tested")
+
+
 def symbol_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """(point, id): for a name at a line, the symbol of that name whose range holds the line (the first by id), else the first of the name.
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.activity import usable
-from ..operators.store import changes, latest_hash
+from ..operators.store import changes, latest_hash, swap
 
 EVENTS = "event_id long, ts long, repo string, kind string, session_id string, detail string"
 
@@ -93,3 +93,54 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 def scan_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """What a full rescan changed; deletions show only here, as a stream of scans cannot tell them."""
     return changes(old, new)
+
+
+def notify(changes: DataFrame, folder: str, checkpoint: str, title: str = "knowledge changed") -> StreamingQuery:
+    """Follow changed entries and keep one notification row (title, n, batch) under ``folder``, replaced by each batch that has rows."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        n = batch.count()
+        if n:
+            swap(batch.sparkSession.range(1).select(F.lit(title).alias("title"), F.lit(n).cast("long").alias("n"), F.lit(number).cast("long").alias("batch")), folder)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_texts(texts: DataFrame, folder: str, checkpoint: str, interval: str | None = "300 seconds") -> StreamingQuery:
+    """Follow texts (doc_id, text) and keep a log (batch, hash, doc_id) of those whose hash is new, each hash once, looking every ``interval``."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        log = _state(batch.sparkSession, folder)
+        now = batch.where(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"))
+        if log is not None:
+            now = now.join(log.where(F.col("batch") < number).select("hash"), "hash", "left_anti")
+        now.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/part-{number:09d}.batch")
+
+    writer = texts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+class Health(StreamingQueryListener):
+    """Counts the rows and batches that running streams report, and the streams that ended with an error."""
+
+    def __init__(self) -> None:
+        self.rows, self.batches, self.failed = 0, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.batches += 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.failed += event.exception is not None
+
+
+def progress(query: StreamingQuery) -> tuple[int, int]:
+    """Batches and rows that a stream reports to have taken in."""
+    seen = query.recentProgress
+    return len(seen), sum(p["numInputRows"] for p in seen)
