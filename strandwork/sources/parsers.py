@@ -13,17 +13,17 @@ import re
 import tomllib
 from collections.abc import Iterator
 
-#: Extensions to languages, from a compact list.
+from .grammars import SHAPES, block_end
+
+#: Extensions to languages.
 EXTENSIONS = {
-    ext: lang
-    for line in (
-        "python py pyi", "rust rs", "typescript ts tsx mts cts", "javascript js jsx mjs cjs", "java java", "go go", "c c h", "cpp cpp cc cxx hpp hh hxx", "cuda cu cuh", "csharp cs", "ruby rb", "dart dart",
-        "kotlin kt kts", "swift swift", "scala scala", "php php", "sql sql ddl", "markdown md markdown", "json json", "yaml yaml yml", "toml toml", "terraform tf tfvars", "gradle gradle", "protobuf proto", "env env",
-    )
-    for lang, *exts in [line.split()]
-    for ext in exts
+    "py": "python", "pyi": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "java": "java", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cu": "cuda", "cuh": "cuda", "cs": "csharp", "rb": "ruby", "dart": "dart",
+    "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala", "php": "php", "sql": "sql", "ddl": "sql", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+    "tf": "terraform", "tfvars": "terraform", "hcl": "terraform", "gradle": "gradle", "proto": "protobuf", "env": "env",
+    **{ext: language for language, shape in SHAPES.items() for ext in shape.extensions},
 }
-FILENAMES = {"dockerfile": "dockerfile", "package.json": "package", "cargo.toml": "package", "build.gradle": "gradle", ".env": "env"}
+FILENAMES = {"dockerfile": "dockerfile", "makefile": "make", "gnumakefile": "make", "cmakelists.txt": "cmake", "package.json": "package", "cargo.toml": "package", "build.gradle": "gradle", ".env": "env"}
 TABLES = {
     "File": "file", "Function": "function", "Method": "function", "Class": "class", "Struct": "class", "Trait": "class", "Enum": "class", "Interface": "class", "TypeAlias": "class", "Import": "import_decl",
     "Module": "module", "ConfigKey": "config", "ConfigSection": "config", "DocSection": "doc", "DocLink": "doc", "DocCodeBlock": "doc", "SkillNode": "skill", "SkillMOC": "skill", "DockerStage": "infra",
@@ -33,7 +33,7 @@ TABLES = {
 }
 _BRACES = {"rust", "typescript", "javascript", "java", "go", "c", "cpp", "cuda", "csharp", "dart", "kotlin", "swift", "scala", "php"}
 _KEYWORDS = frozenset("if for while switch catch return else do new sizeof match loop function def fn func class struct impl await throw typeof super this self print assert with try except lambda in not and or yield case when unless until using lock foreach".split())
-_CLASS = re.compile(r"^[ \t]*(?:(?:pub(?:\([^)]*\))?|public|private|protected|internal|static|final|abstract|sealed|export|default|data|open|partial)\s+)*(?P<kind>class|struct|trait|interface|enum|object|protocol|mixin|module)\s+(?P<name>\w+)(?P<rest>[^\n{;]*)", re.M)
+_CLASS = re.compile(r"^[ \t]*(?:(?:pub(?:\([^)]*\))?|public|private|protected|internal|static|final|abstract|sealed|export|default|data|open|partial)\s+)*(?P<kind>class|struct|trait|interface|enum|object|protocol|mixin|module)\s+(?P<name>\w+)(?P<rest>[^{;=\n]*(?:\n[ \t]*(?::|,|extends\b|implements\b|with\b)[^{;=\n]*)*)", re.M)
 _GO_TYPE = re.compile(r"^type\s+(?P<name>\w+)\s+(?P<kind>struct|interface)\b(?P<rest>)", re.M)
 _IMPL = re.compile(r"^[ \t]*impl(?:<[^>]*>)?\s+(?:(?P<trait>[\w:]+)(?:<[^>]*>)?\s+for\s+)?(?P<name>\w+)", re.M)
 _FUNCTION = {
@@ -55,9 +55,11 @@ _IMPORT = re.compile(r"^[ \t]*(?:(?:import|from)\s+[^\n]+|(?:pub\s+)?use\s+[\w:{
 _CALL = re.compile(r"(?P<recv>(?:[\w$]+(?:\.|::|->))*)(?P<name>[A-Za-z_]\w*)\s*\(")
 _LAUNCH = re.compile(r"(\w+)\s*<<<")
 _QUALIFIER = re.compile(r"\b(__global__|__device__|__host__)\b")
-_CLIENTS = frozenset("axios requests http httpx client api fetch got superagent ky session reqwest httpclient resttemplate dio".split())
-_METHODS = frozenset("get post put delete patch head options".split())
-_HTTP = re.compile(r"\b(?P<recv>\w+)\s*(?:\.|::)\s*(?P<m>\w+)\s*(?:<[^>]*>)?\(\s*[frb]?(?P<q>['\"`])(?P<url>[^'\"`]*)(?P=q)|\bfetch\s*\(\s*(?P<q2>['\"`])(?P<url2>[^'\"`]*)(?P=q2)")
+# Parts of the names of HTTP clients, and methods that send a request.
+_CLIENTS = ("reqwest", "client", "http_client", "httpclient", "_httpclient", "_client", "axios", "fetch", "requests", "http", "net", "ureq", "hyper", "surf", "restclient", "flurlclient", "webclient")
+_METHODS = frozenset(("get", "post", "put", "delete", "patch", "head", "options"))
+_ASYNC = frozenset(("getasync", "postasync", "putasync", "deleteasync", "patchasync", "sendasync", "getstringasync", "getbytearrayasync", "getstreamasync", "executeasync", "executegettaskasync", "executeposttaskasync"))
+_HTTP = re.compile(r"(?<![\w$])(?P<recv>[\w$]+)\s*(?:\.|::)\s*(?P<m>\w+)\s*(?:<[^>]*>)?\(\s*[frb]?(?P<q>['\"`])(?P<url>[^'\"`]*)(?P=q)|\bfetch\s*\(\s*(?P<q2>['\"`])(?P<url2>[^'\"`]*)(?P=q2)")
 _STRINGS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?\*/", re.S)
 _SKIP_DIRS = ("node_modules", "target", "dist", "build", ".git", "vendor", "__pycache__", ".venv", "venv", "out", "coverage", ".next")
 _SKIP_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "poetry.lock", "composer.lock", "gemfile.lock", "go.sum")
@@ -169,6 +171,73 @@ def _blank(text: str) -> str:
     return _STRINGS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+def _names(listed: str) -> list[str]:
+    """The last part of each name of a list of types, without arguments, access words and virtual."""
+    bare = listed
+    while (cut := re.sub(r"<[^<>]*>|\([^()]*\)", "", bare)) != bare:
+        bare = cut
+    found = (re.findall(r"[\w.:]+", re.sub(r"\b(?:public|private|protected|virtual|internal)\b", "", x)) for x in bare.split(","))
+    return [re.split(r"[.:]+", x[0].strip(":."))[-1] for x in found if x]
+
+
+def heritage(language: str, kind: str, rest: str) -> Iterator[tuple[str, str]]:
+    """(relation, name) of what follows a type's name: extends, with and implements by their words, a list after a colon or a Ruby arrow.
+
+    After a colon all inherit, but names of interfaces (I and a capital) of C#, what follows
+    the first name of Kotlin and Swift, and what a Rust trait or a protocol asks for.
+    """
+    words = dict(re.findall(r"\b(extends|with|implements)\s+(.+?)(?=\b(?:extends|with|implements|permits|where)\b|$)", rest, re.S))
+    for name in _names(words.get("extends", "")) + _names(words.get("with", "")):
+        yield "inherits", name
+    for name in _names(words.get("implements", "")):
+        yield "implements", name
+    if words:
+        return
+    if language == "ruby":
+        if m := re.search(r"<\s*([\w:]+)", rest):
+            yield "inherits", m[1].split("::")[-1]
+        return
+    bare = rest
+    while (cut := re.sub(r"<[^<>]*>|\([^()]*\)", "", bare)) != bare:
+        bare = cut
+    m = re.search(r"(?<!:):(?!:)(.+)", re.sub(r"\bwhere\b.*", "", bare, flags=re.S), re.S)
+    if not m or language not in ("cpp", "cuda", "c", "csharp", "kotlin", "swift", "rust") or language in ("cpp", "cuda", "c") and kind == "enum":
+        return
+    for k, name in enumerate(_names(m[1].replace("+", ","))):
+        interface = language == "csharp" and re.match(r"I[A-Z]", name) or language in ("kotlin", "swift") and k > 0
+        yield "implements" if interface and kind not in ("interface", "protocol") else "inherits", name
+
+
+def _shaped(f: _File) -> None:
+    """Definitions of a language of ``SHAPES``; calls are names before a parenthesis that the file defines."""
+    shape, text = SHAPES[f.language], f.content
+    owners: list[tuple[int, int, str]] = []
+    for m in shape.type.finditer(text) if shape.type else ():
+        kind = {"struct": "Struct", "interface": "Interface", "protocol": "Interface", "trait": "Trait", "enum": "Enum"}.get(m.groupdict().get("kind") or "", "Class")
+        end = block_end(shape, text, m.start(), m.end())
+        owners.append((m.start(), end, f.entity(kind, m["name"], None, f.line_at(m.start()), f.line_at(end))))
+    spans: list[tuple[int, int, str, str]] = []
+    for m in shape.function.finditer(text) if shape.function else ():
+        if m["name"] in _KEYWORDS or any(n == m["name"] and a <= m.start() < b for a, b, _, n in spans):
+            continue
+        end = block_end(shape, text, m.start(), m.end())
+        inside = [o for o in owners if o[0] < m.start() < o[1]]
+        owner = inside[-1][2] if inside else None
+        body = text[m.start() : end].strip("\n")
+        q = f"{owner}::{m['name']}" if owner else f"{f.top}:{m['name']}"
+        f.entity("Method" if owner else "Function", m["name"], q, f.line_at(m.start()), f.line_at(max(m.start(), end - 1)), owner, signature=body.split("\n")[0].strip(), body=body)
+        spans.append((m.end(), end, q, m["name"]))
+    known = {n for *_, n in spans}
+    call = re.compile(r"\(\s*([^\s()\"']+)" if shape.block == "paren" else r"([A-Za-z_][\w!?]*)\s*\(")
+    for a, b, q, _ in spans:
+        for c in call.finditer(text, a, b):
+            if c[1] in known:
+                f.edge("calls", q, f"{f.top}:{c[1]}", f.line_at(c.start(1)), raw_callee=c[1])
+    for m in shape.imports.finditer(text) if shape.imports else ():
+        line = f.line_at(m.start())
+        f.edge("imports", f.top, f.entity("Import", m[0].strip()[:80], f"{f.top}:import:{line}", line, link=False, body=m[0].strip()), line)
+
+
 def _pattern_code(f: _File) -> None:
     text = _blank(f.content) if f.language in _BRACES else f.content
     ruby = f.language == "ruby"
@@ -179,10 +248,8 @@ def _pattern_code(f: _File) -> None:
             end = _close(text, m.end(), ruby)
             q = f.entity(kind, m["name"], None, f.line_at(m.start()), f.line_at(end))
             owners.append((m.start(), end, q))
-            rest = m["rest"] or ""
-            for rel, found in (("inherits", re.search(r"\bextends\s+([\w., ]+)|<\s*(\w+)", rest) if not ruby or "<" in rest else None), ("implements", re.search(r"\bimplements\s+([\w., <>]+)", rest))):
-                for base in re.findall(r"\w+", re.sub(r"\b(?:implements|with)\b.*", "", next((g for g in found.groups() if g), ""))) if found else ():
-                    f.edge(rel, q, f"{f.top}:{base}", f.line_at(m.start()))
+            for rel, base in heritage(f.language, m["kind"], m["rest"] or ""):
+                f.edge(rel, q, f"{f.top}:{base}", f.line_at(m.start()))
     if f.language == "rust":
         for m in _IMPL.finditer(text):
             owner = f"{f.top}:{m['name']}"
@@ -221,8 +288,10 @@ def _http(f: _File) -> None:
     for m in _HTTP.finditer(f.content):
         if m["url2"] is not None:
             method, url = "GET", m["url2"]
-        elif m["recv"].lower() in _CLIENTS and m["m"].lower() in _METHODS:
-            method, url = m["m"].upper(), m["url"]
+        elif any(c in m["recv"].lower() for c in _CLIENTS) and (verb := m["m"].lower()) in _METHODS | _ASYNC:
+            # what sends any request does not say which
+            said = "post" if verb == "executeposttaskasync" else verb
+            method, url = next((x.upper() for x in sorted(_METHODS) if said.startswith(x)), "UNKNOWN"), m["url"]
         else:
             continue
         path = url_path(url)
@@ -242,20 +311,94 @@ def _flatten(f: _File, value: object, prefix: str, parent: str, depth: int = 0)
         _flatten(f, v, path, q, depth + 1)
 
 
+def _flow(text: str) -> object:
+    """A flow map or list of YAML as a dict or list of texts and such; anything else as it stands."""
+    text = text.strip()
+    if len(text) < 2 or (text[0], text[-1]) not in (("{", "}"), ("[", "]")):
+        return text.strip("\"'")
+    parts, depth, quote, start = [], 0, "", 1
+    for i in range(1, len(text) - 1):
+        ch = text[i]
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "\"'":
+            quote = ch
+        elif ch in "{[":
+            depth += 1
+        elif ch in "}]":
+            depth -= 1
+        elif ch == "," and depth == 0:
+            parts.append(text[start:i])
+            start = i + 1
+    parts = [p.strip() for p in [*parts, text[start:-1]] if p.strip()]
+    if text[0] == "[":
+        return [_flow(p) for p in parts]
+    pairs = (re.match(r"(\"[^\"]*\"|'[^']*'|[^:]+):(?:\s+(.*))?$", p, re.S) for p in parts)
+    return {m[1].strip().strip("\"'"): _flow(m[2] or "") for m in pairs if m}
+
+
 def _yaml(f: _File) -> None:
-    """Keys of block mappings by indentation; lists count their items."""
+    """Keys of block and flow mappings; lists count their items, block texts are bodies, marks of anchors and tags fall away."""
     stack: list[tuple[int, str, str]] = []
+    lists: dict[str, int] = {}  # the place of a section's entity whose value is a list
+    skip: int | None = None
     for n, line in enumerate(f.lines, 1):
-        m = re.match(r"( *)([\w.\-/]+|\"[^\"]+\"|'[^']+')\s*:(?:\s+(.*))?$", line)
-        if not m or line.lstrip().startswith("#"):
+        bare = line.lstrip()
+        depth = len(line) - len(bare)
+        if skip is not None:
+            if not bare or depth > skip:
+                continue
+            skip = None
+        if not bare or bare[0] == "#" or bare.startswith(("---", "...", "%")):
+            continue
+        if bare.startswith("- ") or bare == "-":
+            # items of a list stand at the indent of its key or deeper
+            while stack and stack[-1][0] > depth:
+                stack.pop()
+            if stack and (at := lists.get(stack[-1][2])) is not None:
+                e = f.entities[at]
+                if e["start_line"] < n and depth == e.setdefault("_item", depth):
+                    e["_n"] = e.get("_n", 0) + 1
+            if re.match(r"-\s+[^\s].*:\s*[|>][+-]?\d*$", bare):
+                skip = depth
+            continue
+        m = re.match(r"( *)([^\s:#\"'{\[&*!|>-][^:#]*?|-\S[^:#]*?|\"[^\"]+\"|'[^']+'|<<)\s*:(?:\s+(.*))?$", line)
+        if not m:
             continue
-        indent, key, value = len(m[1]), m[2].strip("\"'"), (m[3] or "").split(" #")[0].strip()
-        while stack and stack[-1][0] >= indent:
+        key = m[2].strip("\"'")
+        value = re.sub(r"^(?:[&!]\S*\s*)+", "", re.sub(r"(?:^|\s)#.*$", "", m[3] or "").strip()) if not (m[3] or "").lstrip().startswith(("'", '"')) else (m[3] or "").strip()
+        while stack and stack[-1][0] >= depth:
             stack.pop()
-        path = ".".join([*(s[1] for s in stack), key])
-        q = f.entity("ConfigKey" if value else "ConfigSection", path, f"{f.top}:{path}", n, parent=stack[-1][2] if stack else None, body=value or None)
+        # keys of a list's items belong to no path
+        if stack and lists.get(stack[-1][2]) is not None and f.entities[lists[stack[-1][2]]].get("_n"):
+            continue
+        path = ".".join([*(x[1] for x in stack), key])
+        parent = stack[-1][2] if stack else None
+        if re.fullmatch(r"[|>][+-]?\d*", value):
+            skip, text = depth, []
+            for later in f.lines[n:]:
+                if later.strip() and len(later) - len(later.lstrip()) <= depth:
+                    break
+                text.append(later.strip())
+            f.entity("ConfigKey", path, f"{f.top}:{path}", n, parent=parent, body="\n".join(text).strip())
+            continue
+        flow = _flow(value) if value[:1] in ("{", "[") else value.strip("\"'")
+        if isinstance(flow, dict):
+            q = f.entity("ConfigSection", path, f"{f.top}:{path}", n, parent=parent)
+            _flatten(f, flow, path, q, len(stack) + 1)
+            continue
+        if isinstance(flow, list):
+            flow = f"[{len(flow)} items]"
+        q = f.entity("ConfigKey" if value else "ConfigSection", path, f"{f.top}:{path}", n, parent=parent, body=flow or None)
+        if not value:
+            lists[q] = len(f.entities) - 1
         if len(stack) < 5:
-            stack.append((indent, key, q))
+            stack.append((depth, key, q))
+    for e in f.entities:
+        items = e.pop("_n", 0)
+        e.pop("_item", None)
+        if items:
+            e.update(kind="ConfigKey", body=f"[{items} items]")
 
 
 def _package(f: _File) -> None:
@@ -360,6 +503,8 @@ def parse(path: str, content: str, repo: str) -> tuple[list[dict], list[dict]]:
             _yaml(f)
         elif language == "markdown":
             _markdown(f)
+        elif language in SHAPES:
+            _shaped(f)
         elif language in _RULES:
             _line_rules(f, _RULES[language])
         if language in _BRACES or language == "python":

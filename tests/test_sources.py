@@ -128,3 +128,52 @@ def test_incremental_index_skips_equal_hashes(spark, tmp_path):
     log = streams.read_log(spark, folder)
     assert log.count() == 3
     assert {tuple(r) for r in streams.latest_scans(log).collect()} == {("r", "a", "1"), ("r", "b", "2")}
+
+
+@pytest.mark.parametrize(
+    "path, text, kinds, edges",
+    [
+        ("a.cpp", "class A : public B, private ns::C<int> {\n  int f(int x) {\n    return g(x);\n  }\n};\nenum E : int { X };\n", {("Class", "A"), ("Method", "f"), ("Enum", "E")}, {("inherits", "B"), ("inherits", "C"), ("calls", "g")}),
+        ("a.cs", "public class A : Base, IThing<int>\n{\n}\npublic interface IMore : IThing\n{\n}\n", {("Class", "A"), ("Interface", "IMore")}, {("inherits", "Base"), ("implements", "IThing"), ("inherits", "IThing")}),
+        ("a.kt", "class A(val x: Int) : B(x), C {\n  fun f(): Int {\n    return g()\n  }\n}\n", {("Class", "A"), ("Method", "f")}, {("inherits", "B"), ("implements", "C"), ("calls", "g")}),
+        ("a.swift", "class A: B, P {\n  func f() {\n    g()\n  }\n}\n", {("Class", "A"), ("Method", "f")}, {("inherits", "B"), ("implements", "P")}),
+        ("a.scala", "class A extends B with C {\n  def f(x: Int) = { g(x) }\n}\n", {("Class", "A"), ("Method", "f")}, {("inherits", "B"), ("inherits", "C")}),
+        ("a.dart", "class A extends B<int> with M implements I {\n}\n", {("Class", "A")}, {("inherits", "B"), ("inherits", "M"), ("implements", "I")}),
+        ("a.java", "class A\n    extends B\n    implements C, D<E> {\n}\n", {("Class", "A")}, {("inherits", "B"), ("implements", "C"), ("implements", "D")}),
+        ("a.rs", "pub trait T: Base + Send {\n}\n", {("Trait", "T")}, {("inherits", "Base"), ("inherits", "Send")}),
+        ("a.rb", "class A < M::B\n  def f\n    1\n  end\nend\n", {("Class", "A"), ("Method", "f")}, {("inherits", "B")}),
+        ("a.ts", "class A<T> extends B<T> implements C {\n}\n", {("Class", "A")}, {("inherits", "B"), ("implements", "C")}),
+        ("a.cs", 'class A {\n  void F() {\n    _httpClient.GetStringAsync("https://h/x/1");\n    restClient.ExecuteAsync("/any");\n    x.Get("/no");\n  }\n}\n', {("HttpClientCall", "GET /x/1"), ("HttpClientCall", "UNKNOWN /any")}, {("calls_endpoint", "/x/1")}),
+        ("a.lua", "local x = require('m')\nlocal function f(a)\n  return g(a)\nend\nfunction g(a)\n  return a\nend\n", {("Function", "f"), ("Function", "g"), ("Import", "local x = require('m')")}, {("calls", "g")}),
+        ("a.zig", "const P = struct {\n    fn go(x: u8) u8 {\n        return help(x);\n    }\n};\nfn help(x: u8) u8 {\n    return x;\n}\n", {("Struct", "P"), ("Method", "go"), ("Function", "help")}, {("calls", "help")}),
+        ("a.ex", "defmodule A do\n  import B\n  def f(x) do\n    g(x)\n  end\n  defp g(x) do\n    x\n  end\nend\n", {("Class", "A"), ("Method", "f"), ("Method", "g")}, {("calls", "g")}),
+        ("a.hs", "import Data.Map\ndata T = T Int\nf :: Int -> Int\nf 0 = 1\nf x = x\ng :: Int\ng = 1\n", {("Class", "T"), ("Function", "f"), ("Function", "g"), ("Import", "import Data.Map")}, set()),
+        ("a.jl", "struct P\nend\nfunction f(x)\n  g(x)\nend\nfunction g(x)\n  x\nend\n", {("Class", "P"), ("Function", "f")}, {("calls", "g")}),
+        ("a.sh", "source ./lib.sh\nbuild() {\n  echo x\n}\nfunction run() {\n  build\n}\n", {("Function", "build"), ("Function", "run"), ("Import", "source ./lib.sh")}, set()),
+        ("a.R", "library(x)\nf <- function(a) {\n  g(a)\n}\ng = function(a) {\n  a\n}\n", {("Function", "f"), ("Function", "g"), ("Import", "library(x)")}, {("calls", "g")}),
+        ("a.erl", "-include(\"x.hrl\").\nf(X) -> g(X).\ng(X) -> X.\n", {("Function", "f"), ("Function", "g")}, {("calls", "g")}),
+        ("a.sol", "import './b.sol';\ncontract A {\n  function f() public {\n    g();\n  }\n  function g() public {\n  }\n}\n", {("Class", "A"), ("Method", "f"), ("Method", "g")}, {("calls", "g")}),
+        ("a.f90", "module m\ncontains\nsubroutine s(x)\n  call t(x)\nend subroutine\nsubroutine t(x)\nend subroutine\nend module\n", {("Method", "s"), ("Method", "t"), ("Class", "m")}, {("calls", "t")}),
+        ("a.scm", "(define (f x) (g x))\n(define (g x) x)\n", {("Function", "f"), ("Function", "g")}, {("calls", "g")}),
+        ("a.lisp", "(defun f (x) (g x))\n(defun g (x) x)\n(defclass c () ())\n", {("Function", "f"), ("Class", "c")}, {("calls", "g")}),
+        ("Makefile", "include x.mk\nall: a\n\tgo\na:\n\tx\n", {("Function", "all"), ("Function", "a"), ("Import", "include x.mk")}, set()),
+        ("CMakeLists.txt", "find_package(X)\nfunction(f a)\n  g()\nendfunction()\n", {("Function", "f"), ("Import", "find_package(X)")}, set()),
+        ("q.graphql", "type T {\n  f: Int\n}\nquery Q {\n  f\n}\n", {("Class", "T"), ("Function", "Q")}, set()),
+        ("a.gd", "class_name P\nfunc f():\n\tg()\nfunc g():\n\tpass\n", {("Function", "f"), ("Function", "g")}, {("calls", "g")}),
+        ("a.pas", "uses x;\nprocedure f(a: integer);\nbegin\n  g(a);\nend;\nprocedure g(a: integer);\nbegin\nend;\n", {("Function", "f"), ("Function", "g")}, {("calls", "g")}),
+    ],
+)
+def test_more_languages(path, text, kinds, edges):
+    k, e = found(path, text)
+    assert kinds <= k and edges <= e, (kinds - k, edges - e, k, e)
+    assert ("HttpClientCall", "GET /no") not in k
+
+
+def test_yaml_values():
+    text = "a: &x {b: 1, c: {d: 'e, f'}}\nl:\n  - 1\n  - k: v\n    w: z\n  - 3\nm: [1, 2]\nt: |\n  one: not a key\n  two\nn: *x # end\n'q r': s\no:\n- 1\n- 2\np:\n  - name: x\nz: 9\nurl: http://h:1/x\n"
+    entities, _ = parse("c.yaml", text, "r")
+    got = {e["name"]: (e["kind"], e.get("body")) for e in entities if e["kind"] != "File"}
+    assert got == {
+        "a": ("ConfigSection", None), "a.b": ("ConfigKey", "1"), "a.c": ("ConfigSection", None), "a.c.d": ("ConfigKey", "e, f"), "l": ("ConfigKey", "[3 items]"), "m": ("ConfigKey", "[2 items]"), "t": ("ConfigKey", "one: not a key\ntwo"),
+        "n": ("ConfigKey", "*x"), "q r": ("ConfigKey", "s"), "o": ("ConfigKey", "[2 items]"), "p": ("ConfigKey", "[1 items]"), "z": ("ConfigKey", "9"), "url": ("ConfigKey", "http://h:1/x"),
+    }
