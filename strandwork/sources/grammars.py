@@ -80,6 +80,11 @@ def block_end(shape: Shape, text: str, start: int, after: int) -> int:
         return len(text)
     indent = re.match(r"[ \t]*", text[text.rfind("\n", 0, start) + 1 :])[0]  # type: ignore[index]
     if shape.block == "end":
+        # where blocks say what they end, the word of the head decides
+        word = re.search(r"\b(subroutine|function|module|type|macro|task)\b", text[start:after], re.I)
+        m = re.compile(rf"^{indent}end\s*{word[1]}\b[^\n]*", re.M | re.I).search(text, line_end) if word else None
+        if m:
+            return m.end()
         m = re.compile(rf"^{indent}{shape.end}\b[^\n]*" if not shape.end.endswith(";") else rf"^{indent}{shape.end}", re.M | re.I).search(text, line_end)
         return m.end() if m else line_end
     m = re.compile(rf"^{indent}[^\s#%\-|=(]", re.M).search(text, line_end + 1)
