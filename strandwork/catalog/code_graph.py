@@ -48,13 +48,16 @@ def _add(name: str, sql: str | None, ctes: str = "") -> Callable:
 
 
 def _top_name(g: Graph) -> DataFrame:
-    n = g.calls.join(g.functions("name").select(F.col("id").alias("dst"), "name"), "dst").where(F.col("name").isNotNull())
-    return n.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(1).select("name")
+    """The most-called function name, one row that is asked for as a person would ask for it."""
+    n = g.calls.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).join(g.functions("name").select(F.col("id").alias("dst"), "name"), "dst").where(F.col("name").isNotNull())
+    top = n.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(1).collect()
+    return g.spark.createDataFrame([(r["name"],) for r in top], "name string")
 
 
 def _top_id(g: Graph) -> DataFrame:
-    n = g.calls.join(g.functions("name").select(F.col("id").alias("dst")), "dst")
-    return n.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("id"))
+    """The most-called function, one row."""
+    top = census.fan(g.functions("name", "file_path"), g.calls, k=1, among=lambda ids: g.listed(ids, "name", "file_path")).collect()
+    return g.spark.createDataFrame([(r["id"],) for r in top], "id string")
 
 
 _SYMBOL = "name, qualified_name, file_path, start_line, end_line, signature, language"
@@ -232,12 +235,12 @@ _IMPACT = "walk AS (SELECT {start} AS node, 0 AS hop FROM {first} UNION SELECT e
 
 @_add("impact_analysis_by_id", "SELECT node, min(hop) AS hop FROM walk GROUP BY 1 HAVING min(hop) > 0", "e AS (SELECT * FROM ucalls), " + _IMPACT.format(start="id", first="top_id"))
 def _(g: Graph) -> DataFrame:
-    return graph.impact(g.functions("name"), g.calls, _top_id(g).select(F.col("id").alias("node")))
+    return graph.impact(g.functions("name"), g.calls, _top_id(g).withColumnRenamed("id", "node"))
 
 
 @_add("impact_analysis_by_name", "SELECT node, min(hop) AS hop FROM walk GROUP BY 1 HAVING min(hop) > 0", "e AS (SELECT DISTINCT s.name AS src, d.name AS dst FROM ucalls c JOIN fn s ON s.id = c.src JOIN fn d ON d.id = c.dst WHERE s.name IS NOT NULL AND d.name IS NOT NULL), " + _IMPACT.format(start="name", first="top_name"))
 def _(g: Graph) -> DataFrame:
-    return graph.impact(g.functions("name"), g.calls, _top_name(g).select(F.col("name").alias("node")), by="name")
+    return graph.impact(g.functions("name"), g.calls, _top_name(g).withColumnRenamed("name", "node"), by="name")
 
 
 @_add(
@@ -275,6 +278,24 @@ def _(g: Graph) -> DataFrame:
     return graph.centered(g.edges, _top_id(g))
 
 
+@_add("graph_siblings", "SELECT root, id, name FROM (SELECT r.id AS root, e.id, e.name, row_number() OVER (PARTITION BY r.id ORDER BY e.id) AS k FROM ents r JOIN ents e ON e.repo = r.repo AND e.file_path = r.file_path AND e.id <> r.id WHERE r.id IN (SELECT id FROM top_id) AND e.node_table IN ('function', 'class')) WHERE k <= 15")
+def _(g: Graph) -> DataFrame:
+    return graph.siblings(g.entities("node_table", "name", "repo", "file_path", tables=("function", "class")), _top_id(g))
+
+
+_OVER = "top AS (SELECT ents.id, name, degree FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) d JOIN ents USING (id) ORDER BY degree DESC, ents.id LIMIT 100)"
+
+
+@_add("overview_nodes", "SELECT id, name, degree FROM top", _OVER)
+def _(g: Graph) -> DataFrame:
+    return graph.overview(g.entities("name"), g.edges)[0]
+
+
+@_add("overview_edges", "SELECT DISTINCT src, dst, rel FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)", _OVER)
+def _(g: Graph) -> DataFrame:
+    return graph.overview(g.entities("name"), g.edges)[1]
+
+
 @_add("skill_graph", "SELECT DISTINCT s.name AS note, coalesce(d.name, e.dst) AS target, e.context, e.src, e.dst FROM edges e JOIN ents s ON s.id = e.src LEFT JOIN ents d ON d.id = e.dst WHERE rel = 'links_to'")
 def _(g: Graph) -> DataFrame:
     return graph.skill_graph(g.entities("name"), g.edges)

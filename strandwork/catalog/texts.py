@@ -71,22 +71,6 @@ def _(g: Graph) -> DataFrame:
     return knowledge.decisions(entries(g))
 
 
-_LINKS = ", l AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON b.text = a.text AND b.doc_id > a.doc_id AND a.kind <> b.kind)"
-
-
-def _same_text(g: Graph) -> DataFrame:
-    """Entries whose text has several kinds, as links: what they link to is another kind of the same text."""
-    d = g.table("documents").where(F.col("text").isNotNull() & F.col("kind").isNotNull()).select("doc_id", "kind", F.sha2("text", 256).alias("h"))
-    first = d.groupBy("h").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
-    e = d.join(first, "h", "left_semi")
-    return e.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
-
-
-@_add("knowledge_lint", _K + _LINKS + "SELECT 'kind' AS section, coalesce(kind, '') AS key, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'orphan', id::VARCHAR, 1 FROM k WHERE id NOT IN (SELECT src FROM l UNION SELECT dst FROM l) UNION ALL SELECT 'contradiction', id::VARCHAR, 1 FROM k WHERE kind = 'contradiction' UNION ALL SELECT 'low_confidence', id::VARCHAR, 1 FROM k WHERE confidence = 'low'")
-def _(g: Graph) -> DataFrame:
-    return knowledge.lint(entries(g), _same_text(g))
-
-
 @_add("dream_arcs", _K + "SELECT tag, upper(substr(translate(tag, '-_', '  '), 1, 1)) || substr(translate(tag, '-_', '  '), 2) AS title, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, array_to_string(list_sort(list_distinct(list(kind) FILTER (kind IS NOT NULL))), ',') AS kinds FROM topical GROUP BY tag HAVING count(*) >= 2")
 def _(g: Graph) -> DataFrame:
     return knowledge.arcs(entries(g))
@@ -140,11 +124,36 @@ def _(g: Graph) -> DataFrame:
     return knowledge.narration(knowledge.topical(e, "id", "title", "content", "kind", "created_at").where(F.col("tag") == "postmortem"))
 
 
-@_add("open_problems", _K + "SELECT id, title FROM k WHERE kind = 'problem' AND id NOT IN (SELECT b.doc_id FROM documents a JOIN documents b ON a.text = b.text WHERE a.kind = 'solution')")
+_LINKED_K = "l AS (SELECT from_id AS src, to_id AS dst, relation FROM r WHERE relation IS NOT NULL)"
+
+
+def _proposed(g: Graph) -> DataFrame:
+    """The links that ``edge_proposals`` gives."""
+    return knowledge.proposals(entries(g)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "relation")
+
+
+_WITH_LINKS = ORACLE["edge_proposals"].rsplit(" SELECT from_id", 1)[0] + ", " + _LINKED_K + " "
+
+
+@_add("knowledge_lint", _WITH_LINKS + "SELECT 'kind' AS section, coalesce(kind, '') AS key, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'orphan', id::VARCHAR, 1 FROM k WHERE id NOT IN (SELECT src FROM l UNION SELECT dst FROM l) UNION ALL SELECT 'contradiction', id::VARCHAR, 1 FROM k WHERE kind = 'contradiction' UNION ALL SELECT 'low_confidence', id::VARCHAR, 1 FROM k WHERE confidence = 'low'")
+def _(g: Graph) -> DataFrame:
+    return knowledge.lint(entries(g), _proposed(g))
+
+
+@_add("decision_get", _K + "SELECT id, title, content, created_at FROM k WHERE kind = 'decision' AND contains(lower(title), 'the') ORDER BY id LIMIT 1")
+def _(g: Graph) -> DataFrame:
+    return knowledge.decision(entries(g), "THE")
+
+
+@_add("summary_counts", _WITH_LINKS + "SELECT kind AS fact, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1 UNION ALL SELECT 'open problems', count(*) FROM k WHERE kind = 'problem' AND id NOT IN (SELECT dst FROM l WHERE relation = 'solves_for') UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM insight_events WHERE session_id <> ''")
+def _(g: Graph) -> DataFrame:
+    solves = _proposed(g).where(F.col("relation") == "solves_for").select("src", "dst")
+    return store.summary_counts(entries(g), solves, g.table("insight_events").where(F.col("session_id") != "").select("session_id").distinct())
+
+
+@_add("open_problems", _WITH_LINKS + "SELECT id, title FROM k WHERE kind = 'problem' AND id NOT IN (SELECT dst FROM l WHERE relation = 'solves_for')")
 def _(g: Graph) -> DataFrame:
-    d = g.table("documents").where(F.col("text").isNotNull()).select("doc_id", "kind", F.sha2("text", 256).alias("h"))
-    solved = d.where(F.col("kind") == "solution").select("h").distinct()
-    return store.open_problems(entries(g), d.join(solved, "h", "left_semi").select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst")))
+    return store.open_problems(entries(g), _proposed(g).where(F.col("relation") == "solves_for").select("src", "dst"))
 
 
 @_add("context_summary", _K + " SELECT 'decision' AS section, id, title FROM (SELECT * FROM k WHERE kind = 'decision' ORDER BY created_at DESC NULLS LAST, id LIMIT 15) UNION ALL SELECT 'problem', id, title FROM (SELECT * FROM k WHERE kind = 'problem' ORDER BY created_at DESC NULLS LAST, id LIMIT 5) UNION ALL SELECT 'solution', id, title FROM (SELECT * FROM k WHERE kind = 'solution' ORDER BY created_at DESC NULLS LAST, id LIMIT 5)")
@@ -390,6 +399,16 @@ def _(g: Graph) -> DataFrame:
     return activity.recent_sessions(g.table("insight_events"), None)
 
 
+@_add("session_kinds", _E + "SELECT session, kind, count(*) AS n FROM (SELECT CASE WHEN coalesce(session_id, '') = '' THEN 'legacy' ELSE session_id END AS session, unnest([coalesce(kind, ''), 'repo:' || coalesce(repo, '')]) AS kind FROM e) GROUP BY 1, 2")
+def _(g: Graph) -> DataFrame:
+    return activity.session_kinds(g.table("insight_events"))
+
+
+@_add("session_tails", _E + "SELECT session, event_id, sec AS at FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY sec DESC, event_id DESC) AS k FROM (SELECT *, CASE WHEN coalesce(session_id, '') = '' THEN 'legacy' ELSE session_id END AS session FROM e)) WHERE k <= 20")
+def _(g: Graph) -> DataFrame:
+    return activity.session_tails(g.table("insight_events"))
+
+
 @_add("gain_by_tool", "SELECT coalesce(kind, '') AS tool, count(*) AS calls, count(*) * 2500 AS tokens FROM insight_events GROUP BY 1")
 def _(g: Graph) -> DataFrame:
     return activity.gain(g.table("insight_events").select(F.col("kind").alias("tool")))

@@ -64,6 +64,18 @@ def recent_sessions(events: DataFrame, k: int | None = 20, tail: int = 20) -> Da
     return g.join(t, "session")
 
 
+def session_kinds(events: DataFrame) -> DataFrame:
+    """(session, kind, n) and, as kind 'repo:' and a name, the events of each repo of a session: what ``recent_sessions`` counts, row by row."""
+    e = usable(events).select(F.when(F.coalesce("session_id", F.lit("")) == "", "legacy").otherwise(F.col("session_id")).alias("session"), F.array(F.coalesce("kind", F.lit("")), F.concat(F.lit("repo:"), F.coalesce("repo", F.lit("")))).alias("k"))
+    return e.select("session", F.explode("k").alias("kind")).groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_tails(events: DataFrame, tail: int = 20) -> DataFrame:
+    """(session, event_id, at): the last ``tail`` events of every session."""
+    e = usable(events).select(F.when(F.coalesce("session_id", F.lit("")) == "", "legacy").otherwise(F.col("session_id")).alias("session"), "event_id", "at")
+    return first_per(e, ["session"], [F.desc("at"), F.desc("event_id")], tail)
+
+
 def gain(calls: DataFrame, unattributed: int = 0) -> DataFrame:
     """(tool, calls, tokens): estimated tokens saved per tool of ``calls(tool)``; calls without a tool count at the general rate."""
     table = F.create_map(*(F.lit(x) for kv in ESTIMATES.items() for x in kv))

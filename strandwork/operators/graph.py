@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import folder
 from ..plans.bind import named
-from ..plans.cut import Cutter
+from ..plans.cut import Cutter, broadcast_if_small
 from .search import SYMBOL
 
 
+def _few(names: DataFrame) -> DataFrame:
+    """A frame of asked names, broadcast where its counted size allows."""
+    return broadcast_if_small(names, 256)
+
+
 def _ends(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """Edges joined with both ends, columns s_… and d_…."""
     return edges.join(named(dst, "d_"), F.col("dst") == F.col("d_id")).join(named(src, "s_"), F.col("src") == F.col("s_id"))
@@ -22,13 +27,13 @@ def _ends(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
 
 def callers(functions: DataFrame, calls: DataFrame, names: DataFrame) -> DataFrame:
     """The distinct functions that call a function of one of ``names(name)``, with the name called."""
-    hit = calls.join(functions.select(F.col("id").alias("dst"), F.col("name").alias("called")), "dst").join(F.broadcast(names.select(F.col("name").alias("called"))), "called", "left_semi")
+    hit = calls.join(functions.select(F.col("id").alias("dst"), F.col("name").alias("called")), "dst").join(_few(names.select(F.col("name").alias("called"))), "called", "left_semi")
     return hit.select("called", "src").distinct().join(functions.select(F.col("id").alias("src"), *SYMBOL), "src").where(F.col("name").isNotNull()).select("called", F.col("src").alias("id"), *SYMBOL)
 
 
 def callees(functions: DataFrame, calls: DataFrame, names: DataFrame) -> DataFrame:
     """The distinct functions that a function of one of ``names(name)`` calls, with the name of the caller."""
-    hit = calls.join(functions.select(F.col("id").alias("src"), F.col("name").alias("caller")), "src").join(F.broadcast(names.select(F.col("name").alias("caller"))), "caller", "left_semi")
+    hit = calls.join(functions.select(F.col("id").alias("src"), F.col("name").alias("caller")), "src").join(_few(names.select(F.col("name").alias("caller"))), "caller", "left_semi")
     return hit.select("caller", "dst").distinct().join(functions.select(F.col("id").alias("dst"), *SYMBOL), "dst").where(F.col("name").isNotNull()).select("caller", F.col("dst").alias("id"), *SYMBOL)
 
 
@@ -40,9 +45,9 @@ def explore(entities: DataFrame, edges: DataFrame, names: DataFrame) -> DataFram
     """
     order = F.array_position(F.array(*map(F.lit, ("function", "class", "skill", "config", "api", "package", "file"))), F.col("node_table"))
     e = entities.select("id", "name", "node_table", "file_path")
-    all_roots = e.join(F.broadcast(names), "name", "left_semi").withColumn("rank", order).where(F.col("rank") > 0)
+    all_roots = e.join(_few(names), "name", "left_semi").withColumn("rank", order).where(F.col("rank") > 0)
     best = all_roots.groupBy("name").agg(F.min("rank").alias("best"))
-    roots = all_roots.join(F.broadcast(best), "name").where(F.col("rank") == F.col("best")).select("id", "name", "node_table", "file_path")
+    roots = all_roots.join(_few(best), "name").where(F.col("rank") == F.col("best")).select("id", "name", "node_table", "file_path")
     r = roots.select(F.col("id").alias("root"), F.col("file_path").alias("root_file"))
     far = e.select(F.col("id").alias("far"), "name", "file_path")
 
@@ -90,12 +95,13 @@ def endpoint_callers(entities: DataFrame, edges: DataFrame, pattern: str = "") -
 def backlinks(entities: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """(section, id, name): callers, importers, containers, dependents and linking notes of the symbols of a name."""
     e = entities.select("id", "name", "node_table", "body")
-    target = e.join(F.broadcast(names), "name", "left_semi").select(F.col("id").alias("dst"))
+    target = e.join(_few(names), "name", "left_semi").select(F.col("id").alias("dst"))
     names_of = {"calls": "callers", "contains": "containers", "depends_on_package": "dependents", "links_to": "wikilinks", "inherits": "subtypes", "implements": "implementors"}
     rows = edges.where(F.col("rel").isin(*names_of)).join(target, "dst", "left_semi").select("rel", "src").distinct()
     section = F.create_map(*(F.lit(x) for kv in names_of.items() for x in kv))[F.col("rel")]
     linked = rows.join(e.select(F.col("id").alias("src"), "name"), "src").select(section.alias("section"), F.col("src").alias("id"), "name")
-    wanted = F.broadcast(names.select(F.col("name").alias("wanted")))
+    wanted = _few(names.select(F.col("name").alias("wanted")))
+    # a contains condition has no key: the asked names are few, and meet every import once
     importers = e.where(F.col("node_table") == "import_decl").join(wanted, F.col("body").contains(F.col("wanted"))).select(F.lit("importers").alias("section"), "id", "name").distinct()
     return linked.unionByName(importers)
 
@@ -103,7 +109,7 @@ def backlinks(entities: DataFrame, edges: DataFrame, names: DataFrame) -> DataFr
 def references(entities: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """(section, id, n): definitions, call sites and imports of a name."""
     e = entities.select("id", "name", "node_table", "body")
-    wanted = F.broadcast(names.select(F.col("name").alias("wanted")))
+    wanted = _few(names.select(F.col("name").alias("wanted")))
     own = e.where(F.col("node_table").isin("function", "class")).join(wanted, F.col("name") == F.col("wanted"))
     defs = own.select(F.lit("definition").alias("section"), "id", F.lit(1).cast("long").alias("n"))
     sites = edges.where(F.col("rel") == "calls").join(own.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("call").alias("section"), "id", "n")
@@ -126,7 +132,7 @@ def safe_delete(entities: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def hops(calls: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
-    """(hop, n): distinct callers at each number of hops from ``start(id)``, by path expansion without a seen-set."""
+    """(hop, n): distinct callers at each number of hops from ``start(id)``, without a seen-set, so a node counts at every number of hops that leads to it."""
     e = calls.select("src", "dst").distinct()
     front, out = start.select("id"), None
     for k in range(1, depth + 1):
@@ -199,6 +205,21 @@ def two_cycles(pairs: DataFrame) -> DataFrame:
     return p.join(q, ["src", "dst"]).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
+def siblings(entities: DataFrame, start: DataFrame, k: int = 15) -> DataFrame:
+    """(root, id, name): up to ``k`` other functions and classes of the file of each of ``start(id)``, by id."""
+    e = entities.where(F.col("node_table").isin("function", "class")).select("id", "name", "repo", "file_path")
+    roots = e.join(_few(start.select("id")), "id", "left_semi").select(F.col("id").alias("root"), "repo", "file_path")
+    return first_per(e.join(_few(roots), ["repo", "file_path"]).where(F.col("id") != F.col("root")).select("root", "id", "name"), ["root"], [F.col("id")], k)
+
+
+def overview(entities: DataFrame, edges: DataFrame, k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` nodes with the most edges, (id, name, degree), and the edges between them, (src, dst, rel)."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    top = ends.join(entities.select("id", "name"), "id").orderBy(F.desc("degree"), "id").limit(k).select("id", "name", "degree")
+    t = F.broadcast(top.select("id"))  # k rows
+    return top, edges.select("src", "dst", "rel").join(t.withColumnRenamed("id", "src"), "src", "left_semi").join(t.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "rel").distinct()
+
+
 def centered(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(src, dst, rel): the edges that touch ``start(id)``."""
     s = start.select("id")

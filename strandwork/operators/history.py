@@ -117,6 +117,19 @@ def symbol_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def last_before(rows: DataFrame, key: str, order: str, is_left: str, is_right: str) -> DataFrame:
-    """As-of join: each row flagged ``is_left`` of a key with the ``order`` of the last one flagged ``is_right`` before it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.last(F.when(F.col(is_right), F.col(order)), ignorenulls=True).over(w)).where(F.col(is_left)).select(key, order, "before")
+    """As-of join: each row flagged ``is_left`` of a key with the ``order`` of the last one flagged ``is_right`` before it.
+
+    A key's rows are cut into slices of ``SLICE`` of a whole-numbered ``order``.  Windows run
+    within slices; what a slice takes from those before it is the last right row of any of
+    them, found over one row a slice, so a key of very many rows is no single task's sort.
+    """
+    r = rows.select(key, order, is_left, is_right, F.floor(F.col(order) / SLICE).alias("slice"))
+    inside = Window.partitionBy(key, "slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = r.withColumn("near", F.last(F.when(F.col(is_right), F.col(order)), ignorenulls=True).over(inside)).where(F.col(is_left))
+    last = r.groupBy(key, "slice").agg(F.max(F.when(F.col(is_right), F.col(order))).alias("last"))
+    far = last.withColumn("far", F.last("last", ignorenulls=True).over(Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select(key, "slice", "far")
+    return near.join(far, [key, "slice"]).select(key, order, F.coalesce("near", "far").alias("before"))
+
+
+#: The stretch of ``order`` that one slice of a key spans.
+SLICE = 100_000

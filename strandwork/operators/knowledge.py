@@ -57,6 +57,11 @@ def decisions(entries: DataFrame, limit: int = 50) -> DataFrame:
     return entries.where(F.col("kind") == "decision").select("id", "title", "created_at").orderBy(F.desc_nulls_last("created_at"), "id").limit(limit)
 
 
+def decision(entries: DataFrame, part: str) -> DataFrame:
+    """The first decision, by id, whose title contains ``part`` without case, with its text."""
+    return entries.where((F.col("kind") == "decision") & F.lower("title").contains(part.lower())).select("id", "title", "content", "created_at").orderBy("id").limit(1)
+
+
 def lint(entries: DataFrame, links: DataFrame) -> DataFrame:
     """(section, key, n): counts by kind, entries without a link of either direction in ``links(src, dst)``, contradictions, low confidence."""
     ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -227,7 +232,12 @@ def suggest_tags(entries: DataFrame, k: int = 3, least: float = 0.12, prefix: in
 
 def narration(arc: DataFrame) -> DataFrame:
     """(id, scene, line): the entries of one topic told in order of time."""
-    rows = arc.select("id", "title", "content", "kind", "created_at", F.row_number().over(Window.partitionBy("tag").orderBy("created_at", "id")).alias("scene"))
+    # scenes are numbered within months first, and months by how many scenes came before, so a topic of very many entries is sorted in parts
+    month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit(""))
+    own = arc.select("id", "title", "content", "kind", "created_at", "tag", month.alias("month"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("tag", "month").orderBy("created_at", "id")))
+    before = own.groupBy("tag", "month").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("tag").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("tag", "month", "before")
+    rows = own.join(before, ["tag", "month"]).select("id", "title", "content", "kind", "created_at", (F.col("place") + F.col("before")).cast("int").alias("scene"))
     phrase = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in {"problem": "a problem appears", "solution": "a solution lands", "decision": "a decision is made", "claim": "a claim is made"}.items() for x in kv)), F.col("kind")), F.lit("a note is taken"))
     opening = F.when(F.col("scene") == 1, F.concat(F.lit("On "), F.date_format("created_at", "yyyy-MM-dd"), F.lit(" the story begins. "), F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, 2, 1 << 30))).otherwise(F.concat(F.lit("Then, on "), F.date_format("created_at", "yyyy-MM-dd"), F.lit(", "), phrase))
     return rows.select("id", "scene", F.concat(opening, F.lit(": “"), "title", F.lit("”. "), first_sentence(F.col("content"))).alias("line"))

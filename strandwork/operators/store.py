@@ -136,6 +136,13 @@ def context_summary(entries: DataFrame, sessions: int | Column = 0, decisions: i
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def summary_counts(entries: DataFrame, solves: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(fact, n): entries of each kind, problems that nothing solves, and sessions, which a context file states beside its lists."""
+    kinds = entries.where(F.col("kind").isNotNull()).groupBy(F.col("kind").alias("fact")).agg(F.count(F.lit(1)).alias("n"))
+    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fact"), "n")
+    return kinds.unionByName(one("open problems", open_problems(entries, solves))).unionByName(one("sessions", sessions))
+
+
 def open_problems(entries: DataFrame, solves: DataFrame) -> DataFrame:
     """Problems that nothing solves; ``solves`` is (src, dst)."""
     return entries.where(F.col("kind") == "problem").join(solves.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "title")

@@ -132,3 +132,27 @@ def test_two_stage_recall(spark, folder):
     exact = {(r["query_id"], r["vec_id"]) for r in vectors.cosine_topk(v, vectors.queries_of(v)).collect()}
     found = {(r["query_id"], r["vec_id"]) for r in catalog.QUERIES["semantic_two_stage"](spark, f"/root/testdata/{folder}").collect()}
     assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_overrides_reach_the_first_of_their_name(spark):
+    f = spark.createDataFrame([("f:a", "run", "q", "@Override run()", None), ("f:b", "run", "q", "run()", None), ("f:c", "run", "q", None, "@Override\npublic void run() {}"), ("f:d", "go", "q", "override go()", None), ("f:e", None, "q", "override", None)], "id string, name string, qualified_name string, signature string, body string")
+    assert {tuple(r) for r in resolve.virtual_dispatch(f).collect()} == {("f:a", "f:b"), ("f:a", "f:c"), ("f:c", "f:a"), ("f:c", "f:b")}
+    assert {tuple(r) for r in resolve.virtual_dispatch(f, 1).collect()} == {("f:a", "f:b"), ("f:c", "f:a")}
+
+
+def test_a_solution_takes_the_last_problem_before_it(spark):
+    turns = [("user", "The problem is that the build is still failing here."), ("assistant", "I've updated the flag and the fix is in place now."), ("assistant", "The solution was to raise the limit of the queue."), ("user", "root cause: the cache is stale, error: not found"), ("assistant", "Fixed by clearing the cache before each run."), ("assistant", "We looked around and saw nothing.")]
+    t = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)] + [(2, 0, "assistant", "The fix is a new flag for the parser.")], "conv_id int, line int, role string, text string")
+    got = {(r["conv_id"], r["line"]): r["problem_line"] for r in conversation.preceding_problem(conversation.segments(t)).collect()}
+    assert got == {(1, 1): 0, (1, 2): 0, (1, 4): 3, (2, 0): None}
+
+
+@pytest.mark.parametrize("width", [100_000, 3])
+def test_the_last_row_before_over_slices(spark, monkeypatch, width):
+    from strandwork.operators import history
+
+    monkeypatch.setattr(history, "SLICE", width)
+    rows = [(k, i, (i * 7 + k) % 3 == 0, (i * 5 + k) % 11 == 0) for k in range(3) for i in range(60)]
+    want = {(k, i): max((j for q, j, _, r in rows if q == k and r and j < i), default=None) for k, i, left, _ in rows if left}
+    df = spark.createDataFrame(rows, "key int, at int, l boolean, r boolean")
+    assert {(r["key"], r["at"]): r["before"] for r in history.last_before(df, "key", "at", "l", "r").collect()} == want
