@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import ask, census, graph, resolve, search, store
 from ..plans.bind import Graph, size_of
+from ..plans.load import spread
 from ..sources import code
 from ..sources.parsers import EXTENSIONS, LARGEST, skip_pattern
 
@@ -509,7 +510,7 @@ def _(g: Graph) -> DataFrame:
 
 @_add("parse_sources", None)
 def _(g: Graph) -> DataFrame:
-    return code.parsed(g.table("source_files")).groupBy("language", "row", "kind", "rel").agg(F.count(F.lit(1)).alias("n"))
+    return code.parsed(spread(g.table("source_files").select("path", "content", "repo"))).groupBy("language", "row", "kind", "rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_add("file_hashes", "SELECT repo, path, sha256(content) AS hash FROM source_files")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import activity, ask, conversation, history, knowledge, resolve, search, store, vectors
 from ..plans.bind import Graph
 from ..plans.cut import shared_dir
+from ..plans.load import spread
 from ..sources import code
 from ..streaming import streams
 
@@ -28,9 +29,10 @@ def _add(name: str, sql: str | None = None) -> Callable:
     return take
 
 
-def entries(g: Graph) -> DataFrame:
+def entries(g: Graph, wide: bool = False) -> DataFrame:
     """Documents as knowledge entries: the first 60 characters as title, source and language as tags, low confidence where the language is unknown."""
     d = g.table("documents")
+    d = spread(d) if wide else d
     lang = F.lower(F.split_part("lang", F.lit("-"), F.lit(1)))
     tags = F.filter(F.array(F.lower(F.trim("source")), lang), lambda t: t.isNotNull())
     return d.select(
@@ -93,7 +95,7 @@ def _(g: Graph) -> DataFrame:
 
 @_add("jaccard_duplicates", _PAIRS + ", d AS (SELECT a, min(b) FILTER (b < a) AS duplicate_of FROM p WHERE score >= 0.7 GROUP BY 1), t AS (SELECT a, count(DISTINCT bag) AS n FROM p JOIN bag ON bag.id = p.b WHERE score >= 0.7 AND score < 1 GROUP BY 1) SELECT id, duplicate_of, coalesce(n, 0) AS n_links FROM bag LEFT JOIN d ON d.a = id LEFT JOIN t ON t.a = id WHERE len(bag) > 0")
 def _(g: Graph) -> DataFrame:
-    return knowledge.duplicate_of(entries(g))
+    return knowledge.duplicate_of(entries(g, wide=True))
 
 
 @_add("tag_suggestions")
@@ -108,7 +110,7 @@ def _(g: Graph) -> DataFrame:
     "r AS (SELECT a AS from_id, b AS to_id, round(score, 6) AS score, CASE WHEN x = 'solution' AND y = 'problem' THEN 'solves_for' WHEN x = 'decision' AND y IN ('problem', 'claim') THEN 'decided_about' WHEN (x = 'problem' AND y IN ('solution', 'decision')) OR (x = 'claim' AND y = 'decision') THEN NULL WHEN coalesce(x, '') = coalesce(y, '') THEN NULL WHEN score >= 0.4 THEN 'related_to' END AS relation FROM p WHERE score >= 0.3 AND a NOT IN (SELECT id FROM dup) AND b NOT IN (SELECT id FROM dup)) SELECT from_id, to_id, relation, score FROM r WHERE relation IS NOT NULL",
 )
 def _(g: Graph) -> DataFrame:
-    return knowledge.proposals(entries(g))
+    return knowledge.proposals(entries(g, wide=True))
 
 
 _SAY = "CASE WHEN kind = 'problem' THEN 'a problem appears' WHEN kind = 'solution' THEN 'a solution lands' WHEN kind = 'decision' THEN 'a decision is made' WHEN kind = 'claim' THEN 'a claim is made' ELSE coalesce(kind, 'a note is taken') END"

@@ -171,13 +171,15 @@ def duplicate_of(entries: DataFrame, threshold: float = 0.7, prefix: int | None
 
 
 def _earlier(bagged: DataFrame, threshold: float) -> DataFrame:
-    """``duplicate_of`` for entries with bags."""
-    cls = classes_of(bagged)
+    """``duplicate_of`` for entries with bags, which are made once."""
+    cutter = Cutter(bagged.sparkSession, "earlier")
+    bagged = cutter.cut(bagged.select("id", "bag"))
+    cls = cutter.cut(classes_of(bagged))
     links = similar(cls.select("cls", "bag"), threshold).join(cls.select(F.col("cls").alias("b"), F.col("least").alias("b_least")), "b")
     per = links.groupBy(F.col("a").alias("cls")).agg(F.min("b_least").alias("other"), F.count(F.lit(1)).alias("n_links"))
     first = cls.join(per, "cls", "left").select("cls", F.least("least", "other").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = bagged.select("id", F.md5(F.array_join("bag", " ")).alias("cls")).join(first, "cls")
-    return rows.select("id", F.when(F.col("first") < F.col("id"), F.col("first")).alias("duplicate_of"), "n_links")
+    return cutter.only(rows.select("id", F.when(F.col("first") < F.col("id"), F.col("first")).alias("duplicate_of"), "n_links"))
 
 
 def proposals(entries: DataFrame, threshold: float = 0.3, related: float = 0.4, duplicate: float = 0.7, prefix: int | None = None, within: str = "repo") -> DataFrame:

@@ -31,3 +31,9 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores, for costly work on each row: a table of one small file is one partition, larger ones come as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
