@@ -5,28 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.load import table
+from ..plans.load import spread, table
 from . import docs, handwritten, leaks, lookalike, mixture, pieces
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "source_files").select("file_id", "repo", "content"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "indexed_content").select("item_id", "body"))
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "code_entities").select("row_id", "id", "kind", "name", "signature", "body", "language"))
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.kinds(table(spark, d, "source_files")).where(F.col("kind") != "hand-written").select("file_id")
+    return handwritten.kinds(_files(spark, d)).where(F.col("kind") != "hand-written").select("file_id")
 
 
 def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.kinds(table(spark, d, "source_files"))
+    return handwritten.kinds(_files(spark, d))
 
 
 def p1_copies(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.copies(table(spark, d, "source_files"))
+    return handwritten.copies(_files(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_items(pieces.pieces(table(spark, d, "indexed_content")))
+    return pieces.split_items(pieces.pieces(_items(spark, d)))
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.pieces(table(spark, d, "indexed_content"))
+    return pieces.pieces(_items(spark, d))
 
 
 def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -34,15 +50,15 @@ def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return docs.documented(table(spark, d, "code_entities")).select("row_id")
+    return docs.documented(_entities(spark, d)).select("row_id")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docs.pairs(table(spark, d, "code_entities"), table(spark, d, "code_edges"))
+    return docs.pairs(_entities(spark, d), table(spark, d, "code_edges"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaks(_docs(spark, d), table(spark, d, "eval_items"))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
@@ -50,23 +66,23 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixture.mix(_docs(spark, d), table(spark, d, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixture.mix(_docs(spark, d), table(spark, d, "mix_targets"))[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.pairs(table(spark, d, "documents"))
+    return lookalike.pairs(_docs(spark, d))
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.forms(table(spark, d, "documents"))
+    return lookalike.forms(_docs(spark, d))
 
 
 def p9_groups(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.groups(table(spark, d, "documents"))
+    return lookalike.groups(_docs(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_copies, p4_found, p4_pieces, p4_coverage, p5_found, p5_pairs, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_forms, p9_groups)}
