@@ -98,7 +98,17 @@ def _(g: Graph) -> DataFrame:
     return knowledge.duplicate_of(entries(g, wide=True))
 
 
-@_add("tag_suggestions")
+_META = "(v[0-9]|status:|shipped:|session|phase-|bug:)"
+
+
+@_add(
+    "tag_suggestions",
+    _BAG.replace("SELECT id, kind, tags,", "SELECT id, CASE WHEN confidence = 'low' THEN [] ELSE tags END AS tags,", 1)
+    + f", tg AS (SELECT id, bag, unnest(list_distinct(tags)) AS tag FROM bag), tb AS (SELECT DISTINCT tag, unnest(bag) AS w FROM tg WHERE tag <> '' AND NOT regexp_matches(tag, '^{_META}')), tn AS (SELECT tag, count(*) AS tag_n FROM tb GROUP BY 1), "
+    f"pl AS (SELECT id, len(bag) AS n, unnest(bag) AS w FROM bag WHERE len(list_filter(tags, lambda t: t <> '' AND NOT regexp_matches(t, '^{_META}'))) = 0), j AS (SELECT id, tag, i / (n + tag_n - i) AS s FROM (SELECT id, n, tag, count(*) AS i FROM pl JOIN tb USING (w) GROUP BY ALL) JOIN tn USING (tag)), "
+    "pt AS (SELECT tag, w FROM (SELECT tag, unnest(regexp_split_to_array(lower(tag), '[-_]')) AS w FROM tn) WHERE length(w) >= 3), b AS (SELECT id, tag, 0.15 + 0.2 * least(count(*), 2) AS s FROM pl JOIN pt USING (w) GROUP BY 1, 2), "
+    "best AS (SELECT id, tag, round(max(s), 6)::DOUBLE AS score FROM (SELECT id, tag, s::DOUBLE AS s FROM j UNION ALL SELECT id, tag, s::DOUBLE FROM b) GROUP BY 1, 2) SELECT id, tag, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rank FROM best WHERE score >= 0.12) WHERE rank <= 3",
+)
 def _(g: Graph) -> DataFrame:
     e = entries(g).withColumn("tags", F.when(F.col("confidence") == "low", F.array().cast("array<string>")).otherwise(F.col("tags")))
     return knowledge.suggest_tags(e)
@@ -186,7 +196,12 @@ def _(g: Graph) -> DataFrame:
     return search.archive(g.table("indexed_content").where(F.col("body").isNotNull()), "item_id", "body")
 
 
-@_add("html_title_article")
+_PLAIN = "regexp_replace(regexp_replace('<article><p>' || coalesce(body, '') || '</p></article>', '(?is)<script[\\s>].*?</script>|<style[\\s>].*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+
+
+@_add("html_title_article", f"SELECT item_id, trim(coalesce(title, '') || ' & notes') AS title, length(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'), ' '))::INT AS n_chars, true AS html FROM indexed_content")
 def _(g: Graph) -> DataFrame:
     # the stored bodies are plain; each is framed as the page it came from
     page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit(" &amp; notes</title></head><body><article><p>"), F.coalesce("body", F.lit("")), F.lit("</p></article></body></html>"))
