@@ -468,10 +468,40 @@ def _(g: Graph) -> DataFrame:
     return store.delta(two.select("key", F.col("o").alias("text")), two.select("key", F.col("n").alias("text")))
 
 
-@_add("short_log_output", "WITH l AS (SELECT doc, i - 1 AS n, x[i] AS line, len(x) AS size FROM (SELECT item_id AS doc, regexp_split_to_array(body, '\r?\n') AS x FROM indexed_content WHERE kind = 'log' AND body IS NOT NULL), unnest(range(1, len(x) + 1)) t(i)) SELECT doc, n::INT AS n, line FROM l WHERE size <= 46 OR n < 30 OR n >= size - 15 UNION ALL SELECT DISTINCT doc, 30, '... ' || (size - 45) || ' lines ...' FROM l WHERE size > 46")
+_LOG = "WITH l AS (SELECT doc, (i - 1)::INT AS n, x[i] AS line, len(x) AS size FROM (SELECT item_id AS doc, regexp_split_to_array(body, '\\r?\\n') AS x FROM indexed_content WHERE kind = 'log' AND body IS NOT NULL), unnest(range(1, len(x) + 1)) t(i)) "
+_CUT = _LOG + "SELECT doc, n, line FROM l WHERE size <= {passes} OR n < {head} OR n >= size - {tail} UNION ALL SELECT DISTINCT doc, {head}, '... ' || (size - {head} - {tail}) || ' lines ...' FROM l WHERE size > {passes}"
+
+
+def _log_lines(g: Graph) -> DataFrame:
+    return g.table("indexed_content").where(F.col("kind") == "log").select(F.col("item_id").alias("doc"), F.posexplode(F.split("body", "\r?\n")).alias("n", "line"))
+
+
+@_add("short_log_output", _CUT.format(passes=46, head=30, tail=15))
+def _(g: Graph) -> DataFrame:
+    return ask.head_tail(_log_lines(g))
+
+
+@_add("short_listing", _CUT.format(passes=60, head=20, tail=10))
+def _(g: Graph) -> DataFrame:
+    return ask.short_listing(_log_lines(g))
+
+
+@_add("short_file", _CUT.format(passes=200, head=40, tail=20))
+def _(g: Graph) -> DataFrame:
+    return ask.short_file(_log_lines(g))
+
+
+@_add("short_containers", _CUT.format(passes=40, head=20, tail=10))
+def _(g: Graph) -> DataFrame:
+    return ask.short_containers(_log_lines(g))
+
+
+_KEPT = "(regexp_matches(ltrim(line), '^(Step |#|Successfully built|Successfully tagged|ERROR |error:|Sending build context)') OR (NOT starts_with(ltrim(line), '---') AND regexp_matches(ltrim(line), 'DONE|CACHED|^exporting ')))"
+
+
+@_add("short_image_build", _LOG + f"SELECT doc, n, line FROM l WHERE {_KEPT} UNION ALL SELECT doc, max(m)::INT + 1, '... ' || count(*) || ' layer lines ...' FROM (SELECT *, size - 1 AS m FROM l) WHERE NOT {_KEPT} GROUP BY 1")
 def _(g: Graph) -> DataFrame:
-    lines = g.table("indexed_content").where(F.col("kind") == "log").select(F.col("item_id").alias("doc"), F.posexplode(F.split("body", "\r?\n")).alias("n", "line"))
-    return ask.head_tail(lines)
+    return ask.short_image_build(_log_lines(g))
 
 
 def _scratch(g: Graph, name: str) -> str:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.bind import Graph, size_of
@@ -89,17 +90,60 @@ def raw_query(spark: SparkSession, text: str) -> list[DataFrame]:
     return [spark.sql(s) for s in (x.strip() for x in re.split(r";\s*(?:\n|$)", text)) if s]
 
 
-def head_tail(lines: DataFrame, head: int = 30, tail: int = 15) -> DataFrame:
-    """Lines (doc, n, line) of each output cut to its ends with a count between; up to head + tail + 1 lines stay."""
+def head_tail(lines: DataFrame, head: int = 30, tail: int = 15, passes: int | None = None) -> DataFrame:
+    """Lines (doc, n, line) of each output cut to its ends with a count between; up to ``passes``, or head + tail + 1, lines stay."""
     size = lines.groupBy("doc").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("first"))
     x = lines.join(size, "doc")
     at = F.col("n") - F.col("first")
-    whole = F.col("size") <= head + tail + 1
+    whole = F.col("size") <= max(head + tail + 1, passes or 0)
     kept = x.where(whole | (at < head) | (at >= F.col("size") - tail)).select("doc", "n", "line")
     gap = size.where(~whole).select("doc", (F.col("first") + head).alias("n"), F.concat(F.lit("... "), (F.col("size") - head - tail).cast("string"), F.lit(" lines ...")).alias("line"))
     return kept.unionByName(gap)
 
 
+def short_listing(lines: DataFrame) -> DataFrame:
+    """The listing of a folder: over 60 lines, the first 20 and the last 10."""
+    return head_tail(lines, 20, 10, 60)
+
+
+def short_file(lines: DataFrame) -> DataFrame:
+    """The text of a file: over 200 lines, the first 40 and the last 20."""
+    return head_tail(lines, 40, 20, 200)
+
+
+def short_containers(lines: DataFrame) -> DataFrame:
+    """A table of containers or images: over 40 lines, the first 20 and the last 10."""
+    return head_tail(lines, 20, 10, 40)
+
+
+def _counted(lines: DataFrame, kept: Column, said: list[tuple[Column, str]]) -> DataFrame:
+    """The ``kept`` lines, and after them one line for each kind of dropped ones with their number."""
+    last = lines.groupBy("doc").agg(F.max("n").alias("last"))
+    out = lines.where(kept).select("doc", "n", "line")
+    for k, (dropped, what) in enumerate(said, 1):
+        n = lines.where(dropped).groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(last, "doc")
+        out = out.unionByName(n.select("doc", (F.col("last") + k).cast(lines.schema["n"].dataType).alias("n"), F.concat(F.lit("... "), F.col("c").cast("string"), F.lit(f" {what} ...")).alias("line")))
+    return out
+
+
+def short_install(lines: DataFrame) -> DataFrame:
+    """The output of a package manager (doc, n, line): warnings of deprecation and lines on funding counted, notices and traces dropped."""
+    t = F.ltrim("line")
+    starts = lambda *p: reduce(lambda a, b: a | b, (t.startswith(x) for x in p))
+    old = starts("npm warn deprecated ", "warning ", "WARN deprecated ")
+    fund = ~old & (t.contains("looking for funding") | t.startswith("npm fund"))
+    noise = starts("npm notice", "npm http ", "npm sill ", "npm verb ")
+    return _counted(lines, ~old & ~fund & ~noise, [(old, "deprecation warnings"), (fund, "funding lines")])
+
+
+def short_image_build(lines: DataFrame) -> DataFrame:
+    """The output of an image build (doc, n, line): steps, errors and what is done or cached stay, all else is counted."""
+    t = F.ltrim("line")
+    starts = lambda *p: reduce(lambda a, b: a | b, (t.startswith(x) for x in p))
+    kept = starts("Step ", "#", "Successfully built", "Successfully tagged", "ERROR ", "error:", "Sending build context") | (~t.startswith("---") & (t.contains("DONE") | t.contains("CACHED") | t.startswith("exporting ")))
+    return _counted(lines, kept, [(~kept, "layer lines")])
+
+
 def short_grep(lines: DataFrame, passes: int = 80) -> DataFrame:
     """Search output (doc, n, line) with one line per file, its first hit and how many more; short outputs stay, those with other lines keep their ends."""
     x = lines.where(F.trim("line") != "")

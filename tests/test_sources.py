@@ -177,3 +177,13 @@ def test_yaml_values():
         "a": ("ConfigSection", None), "a.b": ("ConfigKey", "1"), "a.c": ("ConfigSection", None), "a.c.d": ("ConfigKey", "e, f"), "l": ("ConfigKey", "[3 items]"), "m": ("ConfigKey", "[2 items]"), "t": ("ConfigKey", "one: not a key\ntwo"),
         "n": ("ConfigKey", "*x"), "q r": ("ConfigKey", "s"), "o": ("ConfigKey", "[2 items]"), "p": ("ConfigKey", "[1 items]"), "z": ("ConfigKey", "9"), "url": ("ConfigKey", "http://h:1/x"),
     }
+
+
+def test_short_installs_and_builds(spark):
+    said = ["npm warn deprecated a@1", "added 3 packages", "  npm notice new", "2 packages are looking for funding", "npm fund", "warning x", "npm sill y", "found 0 vulnerabilities"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(said)], "doc string, n int, line string")
+    assert [r["line"] for r in ask.short_install(lines).orderBy("n").collect()] == ["added 3 packages", "found 0 vulnerabilities", "... 2 deprecation warnings ...", "... 2 funding lines ..."]
+    said = ["Step 1/2 : FROM a", " ---> abc", "#5 x", "downloading", "layer CACHED", "--- DONE", "ERROR no", "Successfully built a"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(said)], "doc string, n int, line string")
+    assert [r["line"] for r in ask.short_image_build(lines).orderBy("n").collect()] == ["Step 1/2 : FROM a", "#5 x", "layer CACHED", "ERROR no", "Successfully built a", "... 3 layer lines ..."]
+    assert ask.short_install(lines.limit(0)).count() == 0
