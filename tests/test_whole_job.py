@@ -156,3 +156,19 @@ def test_the_last_row_before_over_slices(spark, monkeypatch, width):
     want = {(k, i): max((j for q, j, _, r in rows if q == k and r and j < i), default=None) for k, i, left, _ in rows if left}
     df = spark.createDataFrame(rows, "key int, at int, l boolean, r boolean")
     assert {(r["key"], r["at"]): r["before"] for r in history.last_before(df, "key", "at", "l", "r").collect()} == want
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("block, n", [(2_000, 600), (7, 60)])
+def test_pairs_of_common_names_are_not_shuffled(spark, monkeypatch, block, n):
+    monkeypatch.setattr(conversation, "BLOCK", block, raising=False)
+    # 70 common names fill more than one long; the others are in few sessions
+    mentions = [(s, f"all{k}") for s in range(n) for k in range(70) if (s * s + k * 13) % 97 < 25] + [(s, f"own{s // 2}") for s in range(n)] + [(s, f"more{s % 50}") for s in range(0, n, 3)] + [(n, "own7"), (n + 1, "own7")]
+    df = spark.createDataFrame(mentions, "session long, name string")
+    before, got = shuffled(spark), len(conversation.co_discussed(df).collect())
+    assert n < 600 or shuffled(spark) - before < 5 * got, (shuffled(spark) - before, got)
+    assert n > 60 or links_of(spark, mentions, "session long, name string") == pairs_of(mentions)
