@@ -5,13 +5,14 @@ An entry is (id, title, content, kind, repo, confidence, tags, created_at, updat
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import file_scope
-from ..plans.cut import Cutter
+from ..plans.cut import Cutter, broadcast_if_small
+from . import blocks
 from .graph import first_per
 
 #: The repo of shared entries.
@@ -110,56 +111,29 @@ def bags(entries: DataFrame, *cols: str, prefix: int | None = None) -> DataFrame
     return entries.select("id", *cols, F.array_sort(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), text))).alias("bag"))
 
 
-#: Longs of a bag's signature.
-LONGS = 8
+def numbered(bagged: DataFrame, *cols: str) -> DataFrame:
+    """Entries with a word in their bag: cls, a hash of 128 bits of the bag, and words, a hash of 64 bits for each word."""
+    return bagged.where(F.size("bag") > 0).select(*cols, F.unhex(F.md5(F.array_join("bag", " "))).alias("cls"), F.transform("bag", lambda w: F.xxhash64(w)).alias("words"))
 
 
 def similar(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) of word bags ``classes(cls, bag)`` with a Jaccard similarity of at least ``threshold``, both directions.
-
-    Bags are ordered by rarity of their words over all bags.  Two bags as similar as that
-    share a word among the first size - ceil(threshold x size) + 1 of each; only those
-    words are joined, under the bounds on sizes, and each pair is verified in whole.
-    Before that, signatures drop nearly all pairs inside the join: a signature holds for
-    each of its bits whether an odd number of the bag's words falls on it, so two of them
-    differ in no more bits than the bags in words.
+    """(a, b, score) of ``classes(g, cls, words)`` of one g with a Jaccard similarity of at least ``threshold``, both directions.
+
+    All classes whose sizes allow it meet in blocks, where signatures of ``blocks.PARITY`` bits
+    drop nearly all pairs; each of the others is verified in whole.
     """
     cutter = Cutter(classes.sparkSession, "similar")
     # pairs are made of numbers, not of names
-    named = cutter.cut(classes.where(F.size("bag") > 0).select(F.col("cls").alias("name"), "bag", F.monotonically_increasing_id().alias("cls")))
-    c = named.select("cls", "bag")
-    w = c.select("cls", F.size("bag").alias("n"), F.explode(F.transform("bag", lambda x: F.xxhash64(x))).alias("w"))
-    df = w.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    spot = F.pmod("w", F.lit(64 * LONGS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(w, {64 * LONGS}) & 63 as int))")
-    signature = [F.bit_xor(F.when(F.shiftright(spot, 6) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(LONGS)]
-    signs = [f"s{i}" for i in range(LONGS)]
-    ranked = w.join(df, "w").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"), *signature)
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    # a word that no other bag has joins nothing
-    pre = ranked.select("cls", "n", *signs, F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("pos", "x")).where(F.col("x.df") > 1).select("cls", "n", *signs, "pos", F.col("x.w").alias("w"))
-    pre = cutter.cut(pre)
-    a, b = (pre.select("w", F.col("cls").alias(f"{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *(F.col(x).alias(f"{s}{x}") for x in signs)) for s in "ab")
-    # the overlap still possible after the positions where a shared word stands must reach what the threshold asks
-    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9))
-    # a pair's first shared word leaves the most room, so a pair that may reach the threshold passes there
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in signs))
-    cand = near.where((room >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b").distinct()
-    both = cand.join(c.select(F.col("cls").alias("a"), F.col("bag").alias("x")), "a").join(c.select(F.col("cls").alias("b"), F.col("bag").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    score = inter / (F.size("x") + F.size("y") - inter)
-    hits = both.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
-    name = named.select("cls", "name")
-    hits = hits.join(name.select(F.col("cls").alias("a"), F.col("name").alias("x")), "a").join(name.select(F.col("cls").alias("b"), F.col("name").alias("y")), "b")
-    hits = cutter.only(hits.select(F.col("x").alias("a"), F.col("y").alias("b"), "score"))
-    return hits.unionByName(hits.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-
-
-def classes_of(bagged: DataFrame) -> DataFrame:
-    """(cls, bag, least): distinct bags, named by a hash of 128 bits, with the smallest id."""
-    return bagged.groupBy(F.md5(F.array_join("bag", " ")).alias("cls")).agg(F.first("bag").alias("bag"), F.min("id").alias("least"))
+    c = cutter.cut(classes.select("g", "cls", "words", F.monotonically_increasing_id().alias("key")))
+    signed = blocks.parities(c, "key", "g")
+    cand = cutter.cut(blocks.parity_pairs(blocks.cells(cutter, signed, threshold, 4), threshold))
+    some = cand.select("a").union(cand.select("b")).distinct()
+    some = cutter.cut(c.join(broadcast_if_small(some, 16), F.col("key") == F.col("a"), "left_semi"))
+    both = cand.join(some.select(F.col("key").alias("a"), F.col("cls").alias("x"), F.col("words").alias("xw")), "a").join(some.select(F.col("key").alias("b"), F.col("cls").alias("y"), F.col("words").alias("yw")), "b")
+    inter = F.size(F.array_intersect("xw", "yw"))
+    score = inter / (F.size("xw") + F.size("yw") - inter)
+    hits = cutter.only(both.select("x", "y", score.alias("score")).where(F.col("score") >= threshold))
+    return hits.select(F.col("x").alias("a"), F.col("y").alias("b"), "score").unionByName(hits.select(F.col("y").alias("a"), F.col("x").alias("b"), "score"))
 
 
 def duplicate_of(entries: DataFrame, threshold: float = 0.7, prefix: int | None = None) -> DataFrame:
@@ -167,19 +141,45 @@ def duplicate_of(entries: DataFrame, threshold: float = 0.7, prefix: int | None
 
     Entries of one bag are one class; only classes are joined.
     """
-    return _earlier(bags(entries, prefix=prefix).where(F.size("bag") > 0), threshold)
+    cutter = Cutter(entries.sparkSession, "earlier")
+    return _earlier(cutter.cut(numbered(bags(entries, prefix=prefix), "id", F.lit("").alias("g"))), threshold)
+
+
+def _earlier(rows: DataFrame, threshold: float) -> DataFrame:
+    """``duplicate_of`` among entries (id, g, cls, words), which are written, of one g."""
+    cutter = Cutter(rows.sparkSession, "earlier")
+    cls = cutter.cut(rows.groupBy("g", "cls").agg(F.first("words").alias("words"), F.min("id").alias("least")))
+    links = similar(cls.select(F.col("g"), F.concat(F.encode("g", "UTF-8"), F.col("cls")).alias("cls"), "words"), threshold)
+    name = F.concat(F.encode("g", "UTF-8"), F.col("cls"))
+    links = links.join(cls.select(name.alias("b"), F.col("least").alias("b_least")), "b")
+    per = links.groupBy(F.col("a").alias("name")).agg(F.min("b_least").alias("other"), F.count(F.lit(1)).alias("n_links"))
+    first = cls.select("g", "cls", "least", name.alias("name")).join(per, "name", "left").select("g", "cls", F.least("least", "other").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = rows.select("id", "g", "cls").join(first, ["g", "cls"])
+    return cutter.only(out.select("id", F.when(F.col("first") < F.col("id"), F.col("first")).alias("duplicate_of"), "n_links"))
 
 
-def _earlier(bagged: DataFrame, threshold: float) -> DataFrame:
-    """``duplicate_of`` for entries with bags, which are made once."""
-    cutter = Cutter(bagged.sparkSession, "earlier")
-    bagged = cutter.cut(bagged.select("id", "bag"))
-    cls = cutter.cut(classes_of(bagged))
-    links = similar(cls.select("cls", "bag"), threshold).join(cls.select(F.col("cls").alias("b"), F.col("least").alias("b_least")), "b")
-    per = links.groupBy(F.col("a").alias("cls")).agg(F.min("b_least").alias("other"), F.count(F.lit(1)).alias("n_links"))
-    first = cls.join(per, "cls", "left").select("cls", F.least("least", "other").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    rows = bagged.select("id", F.md5(F.array_join("bag", " ")).alias("cls")).join(first, "cls")
-    return cutter.only(rows.select("id", F.when(F.col("first") < F.col("id"), F.col("first")).alias("duplicate_of"), "n_links"))
+def relation_of(related: float, threshold: float) -> Callable[[str, str], tuple[str, float] | None]:
+    """The link from an entry of one kind to one of another, with the least score that gives it."""
+    said = {("solution", "problem"): "solves_for", ("decision", "problem"): "decided_about", ("decision", "claim"): "decided_about"}
+
+    def relation(x: str, y: str) -> tuple[str, float] | None:
+        if x == y or (y, x) in said:
+            return None
+        return (said[x, y], threshold) if (x, y) in said else ("related_to", max(related, threshold))
+
+    return relation
+
+
+def _meeting(entries: DataFrame, threshold: float, duplicate: float, prefix: int | None, within: str) -> DataFrame:
+    """The entries that repeat none before them in the cells where those of one ``within`` meet."""
+    cutter = Cutter(entries.sparkSession, "proposals")
+    rows = numbered(bags(entries, "kind", within, prefix=prefix), "id", "kind", F.coalesce(F.col(within), F.lit("")).alias("g"))
+    # the first entry of a bag stands for the others, which repeat it
+    first = cutter.cut(rows.groupBy("g", "cls").agg(F.min("id").alias("key"), F.min_by("kind", "id").alias("kind"), F.first("words").alias("words")))
+    rows = cutter.cut(blocks.marked(first, blocks.common(first), "key", "kind", "g"))
+    cutter.drop(first)
+    later = cutter.cut(blocks.exact_pairs(blocks.cells(cutter, rows, duplicate, 0), lambda x, y: ("", duplicate), later=True).select(F.col("id").alias("key")))
+    return blocks.cells(cutter, rows.join(broadcast_if_small(later, 64), "key", "left_anti"), threshold, 0)
 
 
 def proposals(entries: DataFrame, threshold: float = 0.3, related: float = 0.4, duplicate: float = 0.7, prefix: int | None = None, within: str = "repo") -> DataFrame:
@@ -187,28 +187,15 @@ def proposals(entries: DataFrame, threshold: float = 0.3, related: float = 0.4,
 
     Solutions solve problems, decisions are about problems and claims; other kinds are
     related from ``related`` on; equal kinds and entries that duplicate an earlier one of
-    their ``within`` get no link.  One entry per bag and kind, the first, stands for its copies.
+    their ``within`` get no link.  Links are made where blocks of entries meet and never shuffled.
     """
-    cutter = Cutter(entries.sparkSession, "proposals")
-    bagged = bags(entries, "kind", within, prefix=prefix).where(F.size("bag") > 0)
-    # words carry their group, so entries of two groups share none
-    own = F.transform("bag", lambda w: F.concat(F.coalesce(F.col(within), F.lit("")), F.lit("\n"), w))
-    bagged = cutter.cut(bagged.select("id", "kind", own.alias("bag")))
-    dup = _earlier(bagged.select("id", "bag"), duplicate).where(F.col("duplicate_of").isNotNull()).select("id")
-    bagged = cutter.cut(bagged.join(dup, "id", "left_anti"))
-    cls = classes_of(bagged)
-    kinds = bagged.select("id", F.coalesce("kind", F.lit("")).alias("kind"), F.md5(F.array_join("bag", " ")).alias("cls"))
-    near = similar(cls.select("cls", "bag"), threshold)
-    both = near.join(kinds.select(F.col("cls").alias("a"), F.col("id").alias("from_id"), F.col("kind").alias("x")), "a").join(kinds.select(F.col("cls").alias("b"), F.col("id").alias("to_id"), F.col("kind").alias("y")), "b")
-    pair = F.concat_ws(">", "x", "y")
-    relation = (
-        F.when(pair == "solution>problem", "solves_for")
-        .when(pair.isin("decision>problem", "decision>claim"), "decided_about")
-        .when(pair.isin("problem>solution", "claim>decision", "problem>decision"), None)
-        .when(F.col("x") == F.col("y"), None)
-        .when(F.col("score") >= related, "related_to")
-    )
-    return both.select("from_id", "to_id", relation.alias("relation"), F.round("score", 6).alias("score")).where(F.col("relation").isNotNull())
+    found = blocks.exact_pairs(_meeting(entries, threshold, duplicate, prefix, within), relation_of(related, threshold))
+    return found.select("from_id", "to_id", "relation", F.round("score", 6).alias("score"))
+
+
+def linked(entries: DataFrame, threshold: float = 0.3, related: float = 0.4, duplicate: float = 0.7, prefix: int | None = None, within: str = "repo") -> DataFrame:
+    """(id, relation, source): the ends of the links that ``proposals`` gives, once each, without the links themselves."""
+    return blocks.exact_pairs(_meeting(entries, threshold, duplicate, prefix, within), relation_of(related, threshold), ends=True)
 
 
 def suggest_tags(entries: DataFrame, k: int = 3, least: float = 0.12, prefix: int | None = None) -> DataFrame:

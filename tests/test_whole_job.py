@@ -172,3 +172,22 @@ def test_pairs_of_common_names_are_not_shuffled(spark, monkeypatch, block, n):
     before, got = shuffled(spark), len(conversation.co_discussed(df).collect())
     assert n < 600 or shuffled(spark) - before < 5 * got, (shuffled(spark) - before, got)
     assert n > 60 or links_of(spark, mentions, "session long, name string") == pairs_of(mentions)
+
+
+def test_links_are_made_where_entries_meet_and_not_shuffled(spark):
+    import random
+
+    own = random.Random(3)
+    kinds = ("solution", "problem", "decision", "claim", None)
+    # every two entries share about half of their words, some with words that are no bits of their own
+    bag = [{f"word{k}" for k in own.sample(range(45), 30)} | {f"rare{i % 70}", f"one{i}"} for i in range(400)]
+    e = spark.createDataFrame([(i, "", " ".join(sorted(b)), kinds[i % 5], "r") for i, b in enumerate(bag)], "id long, title string, content string, kind string, repo string")
+    score = lambda i, j: len(bag[i] & bag[j]) / len(bag[i] | bag[j])
+    kept = [j for j in range(400) if not any(score(i, j) >= 0.7 for i in range(j))]
+    said = {(0, 1): "solves_for", (2, 1): "decided_about", (2, 3): "decided_about"}
+    want = {(i, j, said.get((i % 5, j % 5), "related_to"), round(score(i, j), 6)) for i in kept for j in kept if i % 5 != j % 5 and (j % 5, i % 5) not in said and score(i, j) >= (0.3 if (i % 5, j % 5) in said else 0.4)}
+    before = shuffled(spark)
+    got = [tuple(r) for r in knowledge.proposals(e).collect()]
+    moved = shuffled(spark) - before
+    assert len(got) == len(want) > 50_000 and set(got) == want
+    assert moved < 8 * len(got), moved
