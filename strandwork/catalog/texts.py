@@ -139,9 +139,14 @@ def _(g: Graph) -> DataFrame:
 _LINKED_K = "l AS (SELECT from_id AS src, to_id AS dst, relation FROM r WHERE relation IS NOT NULL)"
 
 
-def _proposed(g: Graph) -> DataFrame:
-    """The links that ``edge_proposals`` gives."""
-    return knowledge.proposals(entries(g)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "relation")
+def _linked(g: Graph) -> DataFrame:
+    """The ends of the links that ``edge_proposals`` gives."""
+    return knowledge.linked(entries(g, wide=True))
+
+
+def _solved(g: Graph) -> DataFrame:
+    """(dst): the problems that a link of ``edge_proposals`` solves."""
+    return _linked(g).where((F.col("relation") == "solves_for") & ~F.col("source")).select(F.col("id").alias("dst"))
 
 
 _WITH_LINKS = ORACLE["edge_proposals"].rsplit(" SELECT from_id", 1)[0] + ", " + _LINKED_K + " "
@@ -149,7 +154,7 @@ _WITH_LINKS = ORACLE["edge_proposals"].rsplit(" SELECT from_id", 1)[0] + ", " +
 
 @_add("knowledge_lint", _WITH_LINKS + "SELECT 'kind' AS section, coalesce(kind, '') AS key, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'orphan', id::VARCHAR, 1 FROM k WHERE id NOT IN (SELECT src FROM l UNION SELECT dst FROM l) UNION ALL SELECT 'contradiction', id::VARCHAR, 1 FROM k WHERE kind = 'contradiction' UNION ALL SELECT 'low_confidence', id::VARCHAR, 1 FROM k WHERE confidence = 'low'")
 def _(g: Graph) -> DataFrame:
-    return knowledge.lint(entries(g), _proposed(g))
+    return knowledge.lint(entries(g), _linked(g).select(F.col("id").alias("src"), F.col("id").alias("dst")))
 
 
 @_add("decision_get", _K + "SELECT id, title, content, created_at FROM k WHERE kind = 'decision' AND contains(lower(title), 'the') ORDER BY id LIMIT 1")
@@ -159,13 +164,12 @@ def _(g: Graph) -> DataFrame:
 
 @_add("summary_counts", _WITH_LINKS + "SELECT kind AS fact, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1 UNION ALL SELECT 'open problems', count(*) FROM k WHERE kind = 'problem' AND id NOT IN (SELECT dst FROM l WHERE relation = 'solves_for') UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM insight_events WHERE session_id <> ''")
 def _(g: Graph) -> DataFrame:
-    solves = _proposed(g).where(F.col("relation") == "solves_for").select("src", "dst")
-    return store.summary_counts(entries(g), solves, g.table("insight_events").where(F.col("session_id") != "").select("session_id").distinct())
+    return store.summary_counts(entries(g), _solved(g), g.table("insight_events").where(F.col("session_id") != "").select("session_id").distinct())
 
 
 @_add("open_problems", _WITH_LINKS + "SELECT id, title FROM k WHERE kind = 'problem' AND id NOT IN (SELECT dst FROM l WHERE relation = 'solves_for')")
 def _(g: Graph) -> DataFrame:
-    return store.open_problems(entries(g), _proposed(g).where(F.col("relation") == "solves_for").select("src", "dst"))
+    return store.open_problems(entries(g), _solved(g))
 
 
 @_add("context_summary", _K + " SELECT 'decision' AS section, id, title FROM (SELECT * FROM k WHERE kind = 'decision' ORDER BY created_at DESC NULLS LAST, id LIMIT 15) UNION ALL SELECT 'problem', id, title FROM (SELECT * FROM k WHERE kind = 'problem' ORDER BY created_at DESC NULLS LAST, id LIMIT 5) UNION ALL SELECT 'solution', id, title FROM (SELECT * FROM k WHERE kind = 'solution' ORDER BY created_at DESC NULLS LAST, id LIMIT 5)")

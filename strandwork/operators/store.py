@@ -144,7 +144,7 @@ def summary_counts(entries: DataFrame, solves: DataFrame, sessions: DataFrame) -
 
 
 def open_problems(entries: DataFrame, solves: DataFrame) -> DataFrame:
-    """Problems that nothing solves; ``solves`` is (src, dst)."""
+    """Problems that nothing solves; ``solves`` has their ids as dst."""
     return entries.where(F.col("kind") == "problem").join(solves.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "title")
 
 
