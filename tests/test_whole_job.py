@@ -191,3 +191,12 @@ def test_links_are_made_where_entries_meet_and_not_shuffled(spark):
     moved = shuffled(spark) - before
     assert len(got) == len(want) > 50_000 and set(got) == want
     assert moved < 8 * len(got), moved
+
+
+def test_ends_of_links_are_those_of_the_links(spark):
+    kinds = ("solution", "problem", "decision", "claim", None)
+    e = spark.createDataFrame([(i, "", " ".join(f"word{(i * k * k + k) % 31}" for k in range(1, 12)), kinds[i % 5], f"r{i % 3}") for i in range(60)], "id long, title string, content string, kind string, repo string")
+    links = [tuple(r)[:3] for r in knowledge.proposals(e).collect()]
+    want = {(a, r, True) for a, _, r in links} | {(b, r, False) for _, b, r in links}
+    got = [tuple(r) for r in knowledge.linked(e).collect()]
+    assert len(got) == len(want) > 0 and set(got) == want
