@@ -96,6 +96,37 @@ def test_links_where_the_module_stands_inside_segments(spark):
     assert linked(spark, imports, files, 50) == links_by_hand(imports, files, 50)
 
 
+def test_links_leave_out_the_own_repo_only(spark):
+    # the first repos have more files than are asked for, and each repo imports the module
+    imports = [(repo, "use core/graph") for repo in "abcdez"] + [(None, "use core/graph")]
+    files = [(repo, f"{p}/core/graph{i}.rs") for p, repo, n in (("x", "a", 9), ("y", "b", 2), ("w", "c", 9), ("x", "d", 1), ("v", "e", 9)) for i in range(n)] + [(None, "a/core/graph.rs"), ("b", "a/core/graph.rs")]
+    for k in (1, 2, 5, 12):
+        want = [x for x in links_by_hand([(r or "none", b) for r, b in imports], files, k) if imports[x[0]][0]]
+        assert linked(spark, imports, files, k) == want
+
+
+def test_parts_of_paths_are_never_broadcast(spark):
+    entities = spark.createDataFrame([(i, "import_decl", "r", f"use {'part/' * (i % 3)}m{i}") for i in range(60)], "id long, node_table string, repo string, body string")
+    files = spark.createDataFrame([("s", f"src/part/m{i}.rs") for i in range(300)], "repo string, path string")
+    sent = []
+    cut = resolve.Cutter.cut if hasattr(resolve, "Cutter") else None
+
+    def seen(df):
+        df.collect()
+        lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+        for i, x in enumerate(lines):
+            if "BroadcastExchange" in x:
+                end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                sent.append("\n".join(lines[i:end]))
+
+    with pytest.MonkeyPatch.context() as m:
+        if cut:
+            m.setattr(resolve.Cutter, "cut", lambda self, df: (seen(df), cut(self, df))[1])
+        seen(resolve.link_repos(entities, files))
+    assert sent and not any("Generate" in x for x in sent)
+
+
 CALL = "src string, dst string, repo string, line int, raw_callee string"
 FN = "id string, node_table string, name string, repo string"
 
