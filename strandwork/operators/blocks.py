@@ -1,14 +1,16 @@
 """Pairs of word bags by blocks: rows meet block by block and a product of matrices bounds what each pair shares.
 
 A row has a group, a number of words and features; rows of one group whose sizes allow the
-threshold meet in cells of two blocks.  In a cell one product of matrices gives for all pairs
-at once a bound on the words that they share, so no pair is a row before it passes.
+threshold meet in cells of two blocks.  In a cell one product of matrices, or the bits in which
+signatures differ, gives for all pairs at once a bound on the words that they share, so no pair
+is a row before it passes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,14 @@ from ..plans.cut import Cutter, broadcast_if_small
 
 #: Rows of a block, and of the two sides of a product.
 BLOCK, TILE = 24_000, (2_048, 8_192)
+#: Rows of a block of signatures, and of the two sides of a table of differences.
+SIGNED, STRIP = 48_000, (64, 1_024)
 #: Bits of a parity signature; words that are bits of their own; columns that the others are counted in.
 PARITY, HOT, REST = 256, 512, 128
+#: Most differences for which signatures folded to 64 and to 128 bits are compared; their chance differences soon leave more than that.
+FOLDED = (21, 44)
+#: Rows by whose words a balance is chosen.
+KNOWN = 1_000
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,22 +46,37 @@ def packed(bits: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in np.packbits(bits.astype(bool), axis=1)], pa.binary())
 
 
-def unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width // 8)
-    return np.unpackbits(raw, axis=1)
+def balance(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common words in order, and for each 1, 0 or -1, so that the sums over bags differ much where bags share little.
+
+    Two bags differ in at least as many words as in their sums under any such numbers, so the
+    choice, by the first rows in order of ``cls``, changes the work but no result.
+    """
+    bags = [np.asarray(r["words"], np.int64) for r in rows.orderBy("cls").select(F.slice("words", 1, PARITY).alias("words")).limit(KNOWN).collect()]
+    if not bags:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, n = np.unique(np.concatenate(bags), return_counts=True)
+    known = np.sort(words[np.argsort(-n, kind="stable")[:HOT]])
+    x = np.array([np.isin(known, b) for b in bags], np.float64)
+    x -= x.mean(0)
+    first = np.linalg.eigh(x.T @ x)[1][:, -1]
+    return known, np.where(np.abs(first) > 0.2 * np.abs(first).mean(), np.sign(first), 0).astype(np.int64)
 
 
-def parities(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and n, sign of rows with words: for each bit whether an odd number of the words falls on it, so two rows differ in no more bits than in words."""
+def parities(rows: DataFrame, known: np.ndarray, weight: np.ndarray, *keep: str) -> DataFrame:
+    """``keep`` and n, sign, total of rows with words: for each bit whether an odd number of the words falls on it, and the sum of the words' weights, so two rows differ in no more bits than in words, and in no greater sum."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, word = flat(b.column("words"))
             bits = counted(row, (word % PARITY).astype(np.int64), b.num_rows, PARITY) & 1
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.bincount(row, minlength=b.num_rows), pa.int32()), packed(bits)], names=[*keep, "n", "sign"])
+            at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+            value = np.where(known[at] == word, weight[at], 0) if len(known) else np.zeros(len(word))
+            total = np.bincount(row, weights=value, minlength=b.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.bincount(row, minlength=b.num_rows), pa.int32()), packed(bits), pa.array(total)], names=[*keep, "n", "sign", "total"])
 
     types = dict(rows.dtypes)
-    return rows.select(*keep, "words").mapInArrow(sign, ", ".join(f"{c} {types[c]}" for c in keep) + ", n int, sign binary")
+    return rows.select(*keep, "words").mapInArrow(sign, ", ".join(f"{c} {types[c]}" for c in keep) + ", n int, sign binary, total int")
 
 
 def common(rows: DataFrame) -> list[int]:
@@ -81,14 +104,14 @@ def marked(rows: DataFrame, hot: list[int], *keep: str) -> DataFrame:
     return rows.select(*keep, "words").mapInArrow(mark, ", ".join(f"{c} {types[c]}" for c in keep) + ", n int, hot binary, rest array<long>")
 
 
-def cells(cutter: Cutter, rows: DataFrame, threshold: float, steps: int) -> DataFrame:
+def cells(cutter: Cutter, rows: DataFrame, threshold: float, steps: int, block: int | None = None) -> DataFrame:
     """Rows (key, g, n, …) copied to the cells where they meet the rows of their group whose size allows ``threshold``: cell and side, 0 or 1, are added; a block meets itself in a cell of side 0 only.
 
     Sizes are cut into bands, ``steps`` of which make up the ratio of the threshold, and a band into blocks; without steps all sizes are one band.
     """
     band = F.floor(F.log(F.col("n").cast("double")) * (steps / (1e-9 - math.log(threshold)))).cast("int") if steps else F.lit(0)
     r = rows.withColumn("band", band)
-    parts = cutter.cut(r.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+    parts = cutter.cut(r.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).cast("int").alias("parts")))
     r = r.join(broadcast_if_small(parts, 64), ["g", "band"]).withColumn("own", F.struct("band", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))).drop("parts")
     r = r.withColumn("other", F.explode(F.sequence(F.col("band") - steps, F.col("band") + steps)))
     met = r.join(broadcast_if_small(parts.select("g", F.col("band").alias("other"), F.col("parts").alias("others")), 64), ["g", "other"])
@@ -144,15 +167,81 @@ def by_cell(met: DataFrame, take: Callable[[pa.Table, pa.Table | None], Iterator
     return m.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
-def parity_pairs(met: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), one way round, of rows (key, n, sign) whose signatures allow a Jaccard similarity of ``threshold``."""
+class Signed:
+    """Rows with signatures in strips of like sums and sizes, their signatures also folded to 128 and 64 bits."""
+
+    def __init__(self, sign: np.ndarray, n: np.ndarray, total: np.ndarray, strip: int) -> None:
+        self.order = np.lexsort((n, total // 16))
+        self.sign, self.n, self.total = sign[self.order], n[self.order].astype(np.int64), total[self.order].astype(np.int64)
+        whole = [np.ascontiguousarray(self.sign[:, k]) for k in range(PARITY // 64)]
+        half = [whole[0] ^ whole[2], whole[1] ^ whole[3]]
+        self.folds = ([half[0] ^ half[1]], half, whole)
+        self._strips(strip)
+
+    def _strips(self, strip: int) -> None:
+        self.strip, starts = strip, np.arange(0, len(self.n), strip)
+        self.least, self.most, self.low, self.high = (f.reduceat(c, starts) for c in (self.n, self.total) for f in (np.minimum, np.maximum))
+
+    def cut(self, strip: int) -> Signed:
+        """The same rows in other strips."""
+        other = copy(self)
+        other._strips(strip)
+        return other
+
+
+def near(one: Signed, two: Signed | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows whose sizes, sums and signatures allow a Jaccard similarity of ``threshold``; each pair of one block with itself once.
+
+    Strips whose sizes or sums lie too far apart are passed over; in the others all pairs are
+    compared by folded signatures, which never differ in more bits, and what these leave by whole ones.
+    """
     # two bags as similar as that differ in at most this share of the sum of their sizes
     differ = 1 - 2 * threshold / (1 + threshold)
+    # sorted rows stay in their order, so of a block with itself both sides have one
+    x, y = one, two or one.cut(STRIP[1])
+    space = np.empty(STRIP, np.uint64), np.empty(STRIP, np.uint8), np.empty(STRIP, np.uint8), np.empty(STRIP, bool)
+    for s in range(len(x.least)):
+        most = np.floor(differ * (x.most[s] + y.most) + 1e-6).astype(np.int64)
+        apart = np.maximum(x.low[s] - y.high, y.low - x.high[s])
+        sized = (y.most >= threshold * x.least[s] - 1e-6) & (x.most[s] >= threshold * y.least - 1e-6)
+        found = []
+        i, i_end = s * x.strip, min((s + 1) * x.strip, len(x.n))
+        for t in np.flatnonzero(sized & (apart <= most)):
+            j, j_end = t * y.strip, min((t + 1) * y.strip, len(y.n))
+            if two is None and j_end <= i:
+                continue
+            fold = int(np.searchsorted(FOLDED, most[t]))
+            xor, bits, more, hit = (a[: i_end - i, : j_end - j] for a in space)
+            for k, (u, v) in enumerate(zip(x.folds[fold], y.folds[fold], strict=True)):
+                np.bitwise_xor(u[i:i_end, None], v[None, j:j_end], out=xor)
+                np.bitwise_count(xor, out=more if k else bits)
+                if k:
+                    np.add(bits, more, out=bits)
+            np.less_equal(bits, np.uint8(min(most[t], 255)), out=hit)
+            at = np.flatnonzero(hit)
+            if len(at):
+                found.append((at // (j_end - j) + i, at % (j_end - j) + j))
+        if found:
+            p, q = (np.concatenate(c) for c in zip(*found, strict=True))
+            if two is None:
+                p, q = p[p < q], q[p < q]
+            nx, ny = x.n[p], y.n[q]
+            ok = np.bitwise_count(x.sign[p] ^ y.sign[q]).sum(1) <= differ * (nx + ny) + 1e-6
+            ok &= np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-6
+            if ok.any():
+                yield x.order[p[ok]], y.order[q[ok]]
+
+
+def parity_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), one way round, of rows (key, n, sign, total) whose signatures allow a Jaccard similarity of ``threshold``."""
 
     def take(a: pa.Table, b: pa.Table | None) -> Iterator[pa.RecordBatch]:
-        one, two = a, b if b is not None else a
-        (x, nx, kx), (y, ny, ky) = ((unpacked(t.column("sign"), PARITY) * 2.0 - 1, t.column("n").to_numpy().astype(np.float64), t.column("key").combine_chunks()) for t in (one, two))
-        for p, q in tiles(x, y, nx, ny, -2 * differ, PARITY, b is None):
+        def side(t: pa.Table, strip: int) -> Signed:
+            sign = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+            return Signed(sign, t.column("n").to_numpy(), t.column("total").to_numpy(), strip)
+
+        kx, ky = (t.column("key").combine_chunks() for t in (a, b if b is not None else a))
+        for p, q in near(side(a, STRIP[0]), None if b is None else side(b, STRIP[1]), threshold):
             yield pa.RecordBatch.from_arrays([kx.take(pa.array(p)), ky.take(pa.array(q))], names=["a", "b"])
 
     return by_cell(met, take, f"a {dict(met.dtypes)['key']}, b {dict(met.dtypes)['key']}")

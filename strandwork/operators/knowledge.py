@@ -108,25 +108,25 @@ def bags(entries: DataFrame, *cols: str, prefix: int | None = None) -> DataFrame
     """Entries with ``bag``, the words of title and text (the first ``prefix`` characters of the text where asked)."""
     text = F.coalesce("content", F.lit(""))
     text = F.substring(text, 1, prefix) if prefix is not None else text
-    return entries.select("id", *cols, F.array_sort(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), text))).alias("bag"))
+    return entries.select("id", *cols, F.sort_array(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), text))).alias("bag"))
 
 
 def numbered(bagged: DataFrame, *cols: str) -> DataFrame:
-    """Entries with a word in their bag: cls, a hash of 128 bits of the bag, and words, a hash of 64 bits for each word."""
-    return bagged.where(F.size("bag") > 0).select(*cols, F.unhex(F.md5(F.array_join("bag", " "))).alias("cls"), F.transform("bag", lambda w: F.xxhash64(w)).alias("words"))
+    """cls, a hash of 128 bits of the bag, and words, a hash of 64 bits for each word; a filter on words here would make the bags twice."""
+    return bagged.select(*cols, F.unhex(F.md5(F.array_join("bag", " "))).alias("cls"), F.transform("bag", lambda w: F.xxhash64(w)).alias("words"))
 
 
 def similar(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) of ``classes(g, cls, words)`` of one g with a Jaccard similarity of at least ``threshold``, both directions.
+    """(a, b, score) of ``classes(g, cls, words, key)``, which are written, of one g with a Jaccard similarity of at least ``threshold``, both directions.
 
     All classes whose sizes allow it meet in blocks, where signatures of ``blocks.PARITY`` bits
     drop nearly all pairs; each of the others is verified in whole.
     """
     cutter = Cutter(classes.sparkSession, "similar")
     # pairs are made of numbers, not of names
-    c = cutter.cut(classes.select("g", "cls", "words", F.monotonically_increasing_id().alias("key")))
-    signed = blocks.parities(c, "key", "g")
-    cand = cutter.cut(blocks.parity_pairs(blocks.cells(cutter, signed, threshold, 4), threshold))
+    c = classes.select("g", "cls", "words", "key")
+    signed = blocks.parities(c, *blocks.balance(c), "key", "g")
+    cand = cutter.cut(blocks.parity_pairs(blocks.cells(cutter, signed, threshold, 4, blocks.SIGNED), threshold))
     some = cand.select("a").union(cand.select("b")).distinct()
     some = cutter.cut(c.join(broadcast_if_small(some, 16), F.col("key") == F.col("a"), "left_semi"))
     both = cand.join(some.select(F.col("key").alias("a"), F.col("cls").alias("x"), F.col("words").alias("xw")), "a").join(some.select(F.col("key").alias("b"), F.col("cls").alias("y"), F.col("words").alias("yw")), "b")
@@ -146,10 +146,10 @@ def duplicate_of(entries: DataFrame, threshold: float = 0.7, prefix: int | None
 
 
 def _earlier(rows: DataFrame, threshold: float) -> DataFrame:
-    """``duplicate_of`` among entries (id, g, cls, words), which are written, of one g."""
+    """``duplicate_of`` among entries (id, g, cls, words), which are written, of one g; those without words are left out."""
     cutter = Cutter(rows.sparkSession, "earlier")
-    cls = cutter.cut(rows.groupBy("g", "cls").agg(F.first("words").alias("words"), F.min("id").alias("least")))
-    links = similar(cls.select(F.col("g"), F.concat(F.encode("g", "UTF-8"), F.col("cls")).alias("cls"), "words"), threshold)
+    cls = cutter.cut(rows.groupBy("g", "cls").agg(F.first("words").alias("words"), F.min("id").alias("least")).where(F.size("words") > 0).withColumn("key", F.monotonically_increasing_id()))
+    links = similar(cls.select(F.col("g"), F.concat(F.encode("g", "UTF-8"), F.col("cls")).alias("cls"), "words", "key"), threshold)
     name = F.concat(F.encode("g", "UTF-8"), F.col("cls"))
     links = links.join(cls.select(name.alias("b"), F.col("least").alias("b_least")), "b")
     per = links.groupBy(F.col("a").alias("name")).agg(F.min("b_least").alias("other"), F.count(F.lit(1)).alias("n_links"))
@@ -175,7 +175,7 @@ def _meeting(entries: DataFrame, threshold: float, duplicate: float, prefix: int
     cutter = Cutter(entries.sparkSession, "proposals")
     rows = numbered(bags(entries, "kind", within, prefix=prefix), "id", "kind", F.coalesce(F.col(within), F.lit("")).alias("g"))
     # the first entry of a bag stands for the others, which repeat it
-    first = cutter.cut(rows.groupBy("g", "cls").agg(F.min("id").alias("key"), F.min_by("kind", "id").alias("kind"), F.first("words").alias("words")))
+    first = cutter.cut(rows.groupBy("g", "cls").agg(F.min("id").alias("key"), F.min_by("kind", "id").alias("kind"), F.first("words").alias("words")).where(F.size("words") > 0))
     rows = cutter.cut(blocks.marked(first, blocks.common(first), "key", "kind", "g"))
     cutter.drop(first)
     later = cutter.cut(blocks.exact_pairs(blocks.cells(cutter, rows, duplicate, 0), lambda x, y: ("", duplicate), later=True).select(F.col("id").alias("key")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork import catalog
 from strandwork.functions import ids
-from strandwork.operators import conversation, knowledge, resolve, vectors
+from strandwork.operators import blocks, conversation, knowledge, resolve, vectors
 
 from .compare import connect, rows
 
@@ -231,3 +231,36 @@ def test_ends_of_links_are_those_of_the_links(spark):
     want = {(a, r, True) for a, _, r in links} | {(b, r, False) for _, b, r in links}
     got = [tuple(r) for r in knowledge.linked(e).collect()]
     assert len(got) == len(want) > 0 and set(got) == want
+
+
+@pytest.mark.parametrize("least, most", [(1, 12), (20, 60), (60, 140), (150, 300)])
+def test_signatures_leave_all_similar_pairs(monkeypatch, least, most):
+    import random
+
+    import numpy as np
+
+    own = random.Random(most)
+    monkeypatch.setattr(blocks, "STRIP", (8, 32))
+    bags = [frozenset(own.sample(range(3_000), own.randint(least, most))) for _ in range(200)]
+    # copies that lose some words and gain others
+    bags += [frozenset([w for w in b if own.random() < 0.9] + own.sample(range(3_000), len(b) // 12)) or b for b in bags for _ in range(2)]
+    bits = np.zeros((len(bags), blocks.PARITY), bool)
+    for i, b in enumerate(bags):
+        for w in b:
+            bits[i, w * 7919 % 10_007 % blocks.PARITY] ^= True
+    sign = np.packbits(bits, axis=1).view(np.uint64)
+    n, total = np.array([len(b) for b in bags], np.int32), np.array([sum(w % 3 - 1 for w in b) for b in bags], np.int32)
+    side = lambda lo, hi, strip: blocks.Signed(sign[lo:hi], n[lo:hi], total[lo:hi], strip)
+    similar = {(i, j) for i, j in combinations(range(len(bags)), 2) if len(bags[i] & bags[j]) >= 0.7 * len(bags[i] | bags[j])}
+    got = [(min(x), max(x)) for p, q in blocks.near(side(0, 600, 8), None, 0.7) for x in zip(p.tolist(), q.tolist(), strict=True)]
+    assert len(similar) > 100 and similar <= set(got) and len(got) == len(set(got))
+    two = [(x, y + 250) for p, q in blocks.near(side(0, 250, 8), side(250, 600, 32), 0.7) for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+    assert set(two) == {(i, j) for i, j in got if i < 250 <= j} and len(two) == len(set(two))
+
+
+def test_bags_are_made_once_and_empty_ones_left_out(spark):
+    texts = ["", None, "the and", "alpha beta gamma delta", "delta gamma beta ALPHA", "alpha beta gamma epsilon delta", "zeta"]
+    e = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id long, title string, content string")
+    plan = knowledge.numbered(knowledge.bags(e), "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    assert sorted(tuple(r) for r in knowledge.duplicate_of(e).collect()) == [(3, None, 1), (4, 3, 1), (5, 3, 1), (6, None, 0)]
