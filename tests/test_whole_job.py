@@ -205,6 +205,17 @@ def test_pairs_of_common_names_are_not_shuffled(spark, monkeypatch, block, n):
     assert n > 60 or links_of(spark, mentions, "session long, name string") == pairs_of(mentions)
 
 
+def test_copies_of_classes_do_not_grow_with_the_classes(spark, monkeypatch):
+    monkeypatch.setattr(conversation, "BLOCK", 16)
+    moved = []
+    for n in (320, 640):
+        df = spark.createDataFrame([(s, f"all{k}") for s in range(n) for k in range(12) if (s + 1) >> k & 1], "session long, name string")
+        before, got = shuffled(spark), conversation.co_discussed(df).count()
+        moved.append(shuffled(spark) - before)
+        assert got == sum(x & y != 0 for x, y in combinations(range(1, n + 1), 2))
+    assert moved[1] < 2.5 * moved[0], moved
+
+
 def test_links_are_made_where_entries_meet_and_not_shuffled(spark):
     import random
 
